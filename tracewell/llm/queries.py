@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, jaccard, rules, secrets
+from . import bpe, decontaminate, jaccard, repeats, rules, secrets
 from .common import documents
 
 
@@ -21,6 +21,18 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = repeats.remove_repeats(documents(spark, sf_dir, "doc_id", "text"))
+    removed = F.aggregate("removed", F.lit(0).cast("long"), lambda a, s: a + (s["hi"] - s["lo"]))
+    return cleaned.select(
+        "doc_id",
+        "n_bytes",
+        removed.alias("n_removed"),
+        F.size("removed").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir, "doc_id", "text")
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
@@ -71,7 +83,7 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.link_classes(documents(spark, sf_dir, "doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op4_decontamination, op5_secrets, op6_quality_rules, op7_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op3_suffix_dedup, op4_decontamination, op5_secrets, op6_quality_rules, op7_jaccard_join)}
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
