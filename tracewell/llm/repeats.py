@@ -37,7 +37,7 @@ from .common import column_bytes, cut, field, mix64, prepare
 GRAM = 32
 #: Bytes of one block, and the number of differing contexts up to which a gram is put in blocks.
 BLOCK_BYTES = 1 << 21
-BLOCK_CONTEXTS = 4096
+BLOCK_CONTEXTS = 16_384
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BYTE_VALUES = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
@@ -111,17 +111,14 @@ def two_stage(text: np.ndarray, depth: int) -> np.ndarray:
     values = text.astype(np.int16)
     # smaller than its successor: the next differing byte is larger (the end counts as smallest)
     change = np.flatnonzero(values[:-1] != values[1:])
-    following = np.full(n, n - 1)
-    if len(change):
-        at = np.searchsorted(change, np.arange(n))
-        following = np.append(change, n - 1)[at]
-    after = np.where(following + 1 < n, values[np.minimum(following + 1, n - 1)], -1)
-    small = values < after
-
-    direct = _sorted_suffixes(text, np.flatnonzero(small), depth)
+    ends = np.append(change, n - 1)  # last places of the runs of one byte
+    after = np.append(values[change + 1], -1)
+    small = np.repeat(values[ends] < after, np.diff(ends, prepend=-1))
+
+    direct = _sorted_suffixes(text, np.flatnonzero(small).astype(np.int32), depth)
     counts = np.bincount(text, minlength=256)
     begin = np.concatenate([[0], np.cumsum(counts)])
-    array = np.full(n, -1, np.int64)
+    array = np.full(n, -1, np.int32)
     head = begin[:-1].copy()
     firsts = text[direct]
     tail = begin[1:] - np.bincount(firsts, minlength=256)
