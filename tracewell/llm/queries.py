@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, jaccard, repeats, rules, secrets
+from . import bpe, decontaminate, jaccard, language, repeats, rules, secrets, toxicity
 from .common import documents
 
 
@@ -83,7 +83,21 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.link_classes(documents(spark, sf_dir, "doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op3_suffix_dedup, op4_decontamination, op5_secrets, op6_quality_rules, op7_jaccard_join)}
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir, "doc_id", "text", "lang", "source")
+    model = language.train(docs, F.col("lang"))
+    found = language.identify(docs, model, declared=F.col("lang"), host=F.col("source"))
+    return found.select("doc_id", "lang_id", F.round("lang_posterior", 6).alias("posterior"), F.col("lang_kept").alias("kept"))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir, "doc_id", "text")
+    model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    scored = toxicity.score(docs, model, drop=("text",))
+    return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).cast("int").alias("predicted"))
+
+
+QUERIES = {f.__name__: f for f in (op1_bpe, op3_suffix_dedup, op4_decontamination, op5_secrets, op6_quality_rules, op7_jaccard_join, op9_language_id, op10_toxicity)}
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
