@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, jaccard, language, repeats, rules, secrets, toxicity
+from . import bpe, decontaminate, jaccard, language, perplexity, repeats, rules, secrets, toxicity
 from .common import documents
 
 
@@ -83,6 +83,17 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.link_classes(documents(spark, sf_dir, "doc_id", "text"))
 
 
+def op8_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    place = perplexity.chunk_of(F.col("_metadata.file_path"), F.col("_metadata.row_index"))
+    docs = documents(spark, sf_dir, "doc_id", "text", "lang", place.alias("chunk"))
+    good = spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1").select("doc_id").distinct()
+    trusted = docs.select("doc_id", "text").join(good, "doc_id", "left_semi")
+    scored = perplexity.perplexities(docs, perplexity.KneserNey(trusted.select("text")), ["doc_id", "lang"])
+    scored = scored.join(good.withColumn("trusted", F.lit(True)), "doc_id", "left")
+    judged = perplexity.verdict(scored, F.col("trusted"), F.col("lang"))
+    return judged.select("doc_id", "n_bytes", F.round("perplexity", 6).alias("perplexity"), F.round("limit", 6).alias("limit"), "kept")
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir, "doc_id", "text", "lang", "source")
     model = language.train(docs, F.col("lang"))
@@ -97,7 +108,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op3_suffix_dedup, op4_decontamination, op5_secrets, op6_quality_rules, op7_jaccard_join, op9_language_id, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op3_suffix_dedup, op4_decontamination, op5_secrets, op6_quality_rules, op7_jaccard_join, op8_perplexity, op9_language_id, op10_toxicity)}
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
