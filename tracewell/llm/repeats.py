@@ -4,11 +4,11 @@ A byte goes when a string of ``length`` bytes that covers it starts anywhere
 else too.  Sorting the suffixes of the whole collection in one array is not
 possible on a cluster, so equal strings are first brought together:
 
-1. Every string of ``length`` bytes has an anchor, the 32-byte gram with the
+1. Every string of ``length`` bytes has an anchor, the 64-byte gram with the
    least hash in it.  Equal strings have equal anchors, so only grams that
    occur twice matter; the others, nearly all, are dropped after a count.
-2. The *context* of an anchor is the stretch in which all strings with that
-   anchor lie.  Equal contexts are counted; those that occur twice or more are
+2. The *context* of an anchor is the stretch that the strings with that anchor
+   fill.  Equal contexts are counted; those that occur twice or more are
    repeated as a whole, and one of each kind stands for them all.
 3. Differing contexts of one gram go to one block.  A block's suffix array is
    made by two-stage sorting: the suffixes smaller than their successors are
@@ -34,7 +34,7 @@ from pyspark.sql import types as T
 
 from .common import column_bytes, cut, field, mix64, prepare
 
-GRAM = 32
+GRAM = 64
 #: Bytes of one block, and the number of differing contexts up to which a gram is put in blocks.
 BLOCK_BYTES = 1 << 21
 BLOCK_CONTEXTS = 16_384
@@ -94,11 +94,18 @@ def anchors(text: bytes, length: int, powers: Powers) -> tuple[np.ndarray, ...]:
     grams = prints.all(GRAM)
     width = length - GRAM + 1
     least = _sliding(grams, width, np.minimum)
-    # a gram is an anchor if it is the least of any of the strings it lies in
+    # a gram that is the least of any string; each string belongs to the leftmost of its own
     top = np.concatenate([np.zeros(width - 1, np.uint64), least, np.zeros(width - 1, np.uint64)])
-    at = np.flatnonzero(_sliding(top, width, np.maximum) == grams)
-    lo = np.maximum(at - (length - GRAM), 0)
-    hi = np.minimum(at + length, n)
+    found = _sliding(top, width, np.maximum) == grams
+    at = np.flatnonzero(found)
+    owner = (np.cumsum(found) - found)[: len(least)]
+    wrong = np.flatnonzero(grams[at[owner]] != least)
+    while len(wrong):
+        owner[wrong] += 1
+        wrong = wrong[grams[at[owner[wrong]]] != least[wrong]]
+    first = np.flatnonzero(np.diff(owner, prepend=-1))
+    at, lo = at[owner[first]], first
+    hi = np.append(first[1:], len(least)) - 1 + length
     context = mix64(prints.of(lo, hi) + mix64(((at - lo) * 65536 + (hi - at)).astype(np.uint64)))
     return grams[at], context, at, lo, hi
 
@@ -162,30 +169,33 @@ def _sorted_suffixes(text: np.ndarray, which: np.ndarray, depth: int) -> np.ndar
     """``which`` ordered by the suffixes that start there, by ``depth`` bytes; the end sorts first."""
     n = len(text)
     keys = _words(text)
-    which = which[::-1]  # of equal keys the one next to the end of the text comes first, and stays so
-    order = which[np.argsort(keys[which], kind="stable")]
+    order = which[np.argsort(keys[which])]
     tied = np.arange(len(order))
     group = np.zeros(len(order), np.int64)
-    done = 0
-    while len(tied):
-        k = keys[np.minimum(order[tied] + done, n - 1)]
-        k[order[tied] + done >= n] = 0
-        new = np.concatenate([[True], (k[1:] != k[:-1]) | (group[1:] != group[:-1])])
-        done += 8
-        if done >= depth:
-            break
-        group = np.cumsum(new)
-        size = np.bincount(group)
-        keep = size[group] > 1
-        tied, group = tied[keep], group[keep]
-        if not len(tied):
+    now, done = keys[order], 8
+    while True:
+        new = np.empty(len(tied), bool)
+        new[:1] = True
+        np.logical_or(now[1:] != now[:-1], group[1:] != group[:-1], out=new[1:])
+        alone = new & np.append(new[1:], True)
+        tied = tied[~alone]
+        group = np.cumsum(new[~alone]) - 1
+        if not len(tied) or done >= depth:
             break
+        # as many further bytes as fit into one number below the group's
+        step = (64 - int(group[-1]).bit_length()) // 8
         at = order[tied] + done
-        k = keys[np.minimum(at, n - 1)]
-        k[at >= n] = 0
-        moved = np.lexsort((k, group))
+        word = keys[np.minimum(at, n - 1)] >> np.uint64(64 - 8 * step)
+        word[at >= n] = 0
+        now = group.astype(np.uint64) << np.uint64(8 * step) | word if step < 8 else word
+        moved = np.argsort(now)
         order[tied] = order[tied][moved]
-        group = group[moved]
+        now, done = now[moved], done + step
+        group = np.zeros(len(tied), np.int8)
+    late = np.isin(group, group[order[tied] >= n - depth - 8]) if len(tied) else np.zeros(0, bool)
+    if late.any():  # the end of the text was read as zeros; of equal suffixes the shorter one is smaller
+        places, own = tied[late], group[late]
+        order[places] = order[places][np.lexsort((-np.where(order[places] >= n - depth - 8, order[places], -1), own))]
     return order
 
 
