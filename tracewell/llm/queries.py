@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, jaccard, language, perplexity, repeats, rules, secrets, toxicity
+from . import bpe, decontaminate, jaccard, language, perplexity, repeats, rules, secrets, toxicity, warc
 from .common import documents
 
 
@@ -21,6 +21,12 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
+    found = warc.audit(pages, warc.damaged(pages))
+    return found.select(F.col("key").alias("page_id"), F.col("file").alias("warc_file"), "offset", "length", "digest", "status")
+
+
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cleaned = repeats.remove_repeats(documents(spark, sf_dir, "doc_id", "text"))
     removed = F.aggregate("removed", F.lit(0).cast("long"), lambda a, s: a + (s["hi"] - s["lo"]))
@@ -108,14 +114,27 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op3_suffix_dedup, op4_decontamination, op5_secrets, op6_quality_rules, op7_jaccard_join, op8_perplexity, op9_language_id, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_warc_fixity, op3_suffix_dedup, op4_decontamination, op5_secrets, op6_quality_rules, op7_jaccard_join, op8_perplexity, op9_language_id, op10_toxicity)}
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: Words of a text as op4 takes them.
 _OP4_WORDS = f"regexp_extract_all(translate(text, '{_UPPER}', '{_LOWER}'), '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+')"
 
+#: A record of op2.
+_OP2_RECORD = """'WARC/1.0' || crlf || 'WARC-Type: response' || crlf || 'WARC-Record-ID: <urn:record:' || page_id || '>' || crlf
+|| 'WARC-Target-URI: ' || coalesce(url, '') || crlf || 'Content-Type: text/html' || crlf || 'Content-Length: ' || strlen(coalesce(html, ''))
+|| crlf || crlf || coalesce(html, '') || crlf || crlf"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op2_warc_fixity": f"""
+WITH p AS (SELECT page_id, url, html, page_id // 4096 AS warc_file, (page_id * 40503 + 7) % 53 AS draw, chr(13) || chr(10) AS crlf FROM pages),
+r AS (SELECT page_id, warc_file, draw, html, {_OP2_RECORD} AS record FROM p)
+SELECT page_id, CAST(warc_file AS BIGINT) AS warc_file,
+       CAST(coalesce(sum(strlen(record)) OVER (PARTITION BY warc_file ORDER BY page_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset",
+       CAST(strlen(record) AS BIGINT) AS length, sha256(record) AS digest,
+       CASE WHEN draw = 1 THEN 'missing' WHEN draw = 0 AND '~' || substr(html, 2) <> html THEN 'altered' ELSE 'ok' END AS status
+FROM r""",
     "op4_decontamination": f"""
 WITH d AS (SELECT doc_id, coalesce({_OP4_WORDS}, []) AS w FROM documents),
 b AS (SELECT CAST(item_id AS VARCHAR) AS item_id, {_OP4_WORDS} AS w FROM benchmark),
