@@ -45,12 +45,15 @@ def literal_hits(rows: DataFrame, keyword: str, line_col: str = "line", keep: Se
     line, size = F.col(line_col), len(keyword)
     pieces = F.split(line, re.sub(r"([^A-Za-z0-9 ])", r"\\\1", keyword))
     ends = F.transform(F.sequence(F.lit(1), F.size(pieces) - 1), lambda k: F.aggregate(F.slice(pieces, F.lit(1), k), F.lit(0), lambda a, p: a + F.length(p)) + (k - 1) * size)
-    rows = rows.where(line.contains(keyword)).select(*keep, line.alias("line"), F.explode(ends).alias("match_span_start"))
+    rows = rows.where(line.contains(keyword)).select(*keep, line.alias("_line"), F.explode(ends).alias("match_span_start"))
     return _finished(rows, keep, F.lit(keyword), F.lit(size))
 
 
 def regex_hits(rows: DataFrame, pattern: str, line_col: str = "line", keep: Sequence[str] = ()) -> DataFrame:
-    """The same for a Java pattern without groups that never matches the empty string."""
+    """The same for a Java pattern without groups that never matches the empty string.
+
+    Case folding outside ASCII takes the flags ``(?iu)``.
+    """
     line = F.col(line_col)
     found = F.regexp_extract_all(line, F.lit(pattern), F.lit(0))
     pieces = F.split(line, pattern)
@@ -64,15 +67,15 @@ def regex_hits(rows: DataFrame, pattern: str, line_col: str = "line", keep: Sequ
             F.element_at(found, k).alias("m"),
         ),
     )
-    rows = rows.where(line.rlike(pattern)).select(*keep, line.alias("line"), F.explode(spans).alias("s"))
-    return _finished(rows.select(*keep, "line", "s.match_span_start", "s.m"), keep, F.lit(pattern), F.length("m"))
+    rows = rows.where(line.rlike(pattern)).select(*keep, line.alias("_line"), F.explode(spans).alias("s"))
+    return _finished(rows.select(*keep, "_line", "s.match_span_start", "s.m"), keep, F.lit(pattern), F.length("m"))
 
 
 def _finished(rows: DataFrame, keep: Sequence[str], pattern: Column, size: Column) -> DataFrame:
     start = F.col("match_span_start")
     rows = rows.withColumn("match_span_end", start + size)
-    shown = values.preview(F.regexp_replace("line", r"[\r\n]+\z", ""), start, F.col("match_span_end"))
-    matched = F.substring(F.col("line"), start + 1, size)
+    shown = values.preview(F.regexp_replace("_line", r"[\r\n]+\z", ""), start, F.col("match_span_end"))
+    matched = F.substring(F.col("_line"), start + 1, size)
     return rows.select(*keep, start, "match_span_end", matched.alias("matched"), pattern.alias("pattern"), shown.alias("line_preview"))
 
 

@@ -111,12 +111,10 @@ def note_issues(notes: DataFrame) -> DataFrame:
 
 # ---- baseline ------------------------------------------------------------------------------------
 
-_nfc = F.pandas_udf(lambda s: s.map(lambda x: None if x is None else unicodedata.normalize("NFC", x)), "string")
-
-
 def composed(key: Column) -> Column:
     """A key in composed form; only keys outside ASCII leave the JVM."""
-    return F.when(key.rlike(r"^[\x00-\x7f]*$"), key).otherwise(_nfc(key))
+    nfc = F.pandas_udf(lambda s: s.map(lambda x: None if x is None else unicodedata.normalize("NFC", x)), "string")
+    return F.when(key.rlike(r"^[\x00-\x7f]*$"), key).otherwise(nfc(key))
 
 
 def _keyed(rows: DataFrame, key: str, columns: Sequence[str], mark: str, order: str | None) -> DataFrame:
