@@ -1,23 +1,36 @@
 """Exact Jaccard join of shingle sets by PartEnum signatures.
 
-Two sets of sizes a <= b whose similarity reaches 0.9 differ in at most
-(a + b) / 19 features.  Sizes are cut into bands whose ends grow by 10/9, so
-linked sets lie in one band or in neighbouring ones, and each set signs for
-its own band and for the next one.  For a band, k bounds the difference.  The
-feature domain (64-bit hashes) is cut into n1 = ceil((k + 1) / 2) ranges: by
-the pigeonhole principle linked sets differ by one feature at most in some
-range.  Each range is cut into three parts, and every subset of two parts
-makes a signature: the one without the part that differs is shared.
-
-Equal sets are one node.  In a bucket of equal signatures every node is
-compared with the bucket's first node only; what is then in one component
-needs no further comparison, and just pairs of different components of one
-bucket are compared afterwards, so no group is ever expanded into all pairs.
+Two sets of sizes a <= b whose similarity reaches num / den differ in at most
+k = 2b (den - num) / (den + num) features.  Sizes are cut into bands by the
+power of two that k + 1 does not pass, and each set signs for its own band and,
+where a larger partner can lie in the next one, for that too.  In a band the
+feature domain (64-bit hashes) is cut into n1 ranges, twice of which are k + 1
+or more: by the pigeonhole principle linked sets differ by one feature at most
+in some range.  Each range is cut into three parts, and every subset of two
+parts makes a signature: the one without the part that differs is shared.
+
+Signatures of few features are shared by chance far too often.  Linked sets
+agree but for one feature in n1 - k / 2 ranges at least.  So a set may leave
+out all signatures of less than t features if fewer of its ranges than that
+have one: some range is left in which all are strong, and the one that is
+shared there is made by the other set too, if that one's t is not larger; if
+it is, the same holds the other way round.  Each set takes the largest t it
+can.
+
+Nodes are documents; equal sets are one node, that with the smallest key.
+Candidates are verified in three rounds, each only for pairs that the rounds
+before left in different components: every node with the hub (first node) of
+the buckets that it shares most often, then with its other hubs and the nodes
+before it in its buckets, then whatever pairs of one bucket remain.  So no
+group is expanded into all pairs of its members.  Candidates are held against
+sizes and parity sketches first, which rule out nearly all that are not linked;
+texts are fetched for the others only.
 
 Defined cases: null, empty and word-less texts have an empty set and are
-linked with nothing; a text of one or two words is one shingle; repeated rows
-are equal sets; rows with one doc_id are one document for ``component_id``;
-null doc_ids take part in links but are never a component_id.
+linked with nothing; a text of fewer words than a shingle is one shingle;
+repeated rows are equal sets; rows with one id are one document, for whose
+links the largest of its sets speaks; null ids take part in links but are
+never a component_id.
 """
 
 from __future__ import annotations
@@ -38,34 +51,39 @@ from .graph import components
 class PartEnum:
     """Signatures for a Jaccard threshold given as a fraction ``num / den``."""
 
-    def __init__(self, num: int = 9, den: int = 10, most: int = 1 << 40):
+    def __init__(self, num: int = 9, den: int = 10):
         self.num, self.den = num, den
-        self.ends = [1]
-        while self.ends[-1] < most:
-            self.ends.append(max(self.ends[-1] + 1, -(-self.ends[-1] * den // num)))
 
-    def difference(self, group: int) -> int:
-        """Most features in which linked sets of this group can differ."""
-        return 2 * (self.ends[group + 1] - 1) * (self.den - self.num) // (self.den + self.num)
+    def difference(self, size: int) -> int:
+        """Most features in which a set differs from a linked one that is not larger."""
+        return 2 * size * (self.den - self.num) // (self.den + self.num)
+
+    def bands(self, size: int) -> range:
+        """The bands in which a set of this size can meet a linked one."""
+        return range(self.difference(size).bit_length(), self.difference(size * self.den // self.num).bit_length() + 1)
 
     def sign(self, features: np.ndarray) -> np.ndarray:
-        """Signatures of sorted, distinct 64-bit features."""
-        band = bisect_right(self.ends, len(features)) - 1
+        """40-bit signatures of sorted, distinct 64-bit features."""
         mixed = np.zeros(len(features) + 1, np.uint64)
         np.cumsum(mix64(features), out=mixed[1:])
         out = []
-        for group in (band, band + 1):
-            k = self.difference(group)
-            if not k:
+        for band in self.bands(len(features)):
+            if not band:
                 continue  # only equal sets can be linked, and those are one node
-            ranges = (k + 2) // 2
+            most = min((1 << band) - 1, self.difference(len(features) * self.den // self.num))
+            ranges = 1 << (band - 1)  # 2 * ranges > k for every pair that meets in this band
             parts = (features >> np.uint64(32)) * np.uint64(3 * ranges) >> np.uint64(32)
             bounds = np.searchsorted(parts, np.arange(3 * ranges + 1, dtype=np.uint64))
             sums = (mixed[bounds[1:]] - mixed[bounds[:-1]]).reshape(ranges, 3)
-            place = mix64(np.arange(ranges, dtype=np.uint64) * np.uint64(1 << 20) + np.uint64(group + 1))
+            sizes = np.diff(bounds).reshape(ranges, 3)
+            # as many ranges as there may be without a strong signature lie below this one
+            weakest = np.sort(sizes.sum(1) - sizes.max(1))
+            strong = weakest[ranges - most // 2 - 1]
+            place = mix64(np.arange(ranges, dtype=np.uint64) * np.uint64(64) + np.uint64(band))
             for left_out, (a, b) in enumerate(((1, 2), (0, 2), (0, 1))):
-                out.append(mix64(mix64(sums[:, a] + place + np.uint64(left_out)) + sums[:, b]))
-        return np.concatenate(out) if out else np.empty(0, np.uint64)
+                held = sizes[:, a] + sizes[:, b] >= strong
+                out.append(mix64(mix64(sums[held, a] + place[held] + np.uint64(left_out)) + sums[held, b]))
+        return np.concatenate(out) >> np.uint64(24) if out else np.empty(0, np.uint64)
 
 
 def shingle_set(text: bytes | None, hashes: WordHashes, n: int) -> np.ndarray:
@@ -79,69 +97,77 @@ def shingle_set(text: bytes | None, hashes: WordHashes, n: int) -> np.ndarray:
     return np.unique(window_hashes(coded, n))
 
 
-def set_id(features: np.ndarray) -> int:
-    return xxhash.xxh3_64_intdigest(features.tobytes()) - (1 << 63)
-
-
 def _key(id_col: str, text_col: str) -> Column:
     """The id, or for rows without one a negative number made of the text."""
     return F.coalesce(F.col(id_col), -1 - F.pmod(F.xxhash64(text_col), F.lit(1 << 62)))
 
 
+SKETCH = 16
+
+
+def sketch(features: np.ndarray, words: int = SKETCH) -> np.ndarray:
+    """64 * ``words`` parity bits; sets that differ by d features differ by d bits at most."""
+    counts = np.bincount((features & np.uint64(64 * words - 1)).astype(np.int64), minlength=64 * words)
+    return np.packbits((counts & 1).astype(np.uint8), bitorder="little").view(np.int64)
+
+
+def wide_sketch(features: np.ndarray) -> np.ndarray:
+    """A sketch of about two bits for each feature; a longer one folds into a shorter one."""
+    return sketch(features, max(SKETCH, 1 << (len(features) // 32).bit_length()))
+
+
 def _sets(docs: DataFrame, n: int) -> DataFrame:
-    """key, n_shingles, node of every document."""
+    """``docs`` without its text, with n_shingles, a 128-bit hash of the set in two halves, and its sketches."""
+    fields = [field("n_shingles", T.LongType()), field("set_hi", T.LongType()), field("set_lo", T.LongType()), field("wide", T.ArrayType(T.LongType()))]
+    fields += [field(f"s{k}", T.LongType()) for k in range(SKETCH)]
 
     def make():
         hashes = WordHashes()
 
         def kernel(texts):
             sets = [shingle_set(t, hashes, n) for t in texts]
-            return [pa.array([len(s) for s in sets], pa.int64()), pa.array([set_id(s) for s in sets], pa.int64())]
+            marks = np.array([divmod(xxhash.xxh3_128_intdigest(s.tobytes()), 1 << 64) for s in sets], np.uint64).reshape(len(sets), 2).view(np.int64)
+            bits = np.array([sketch(s) for s in sets], np.int64).reshape(len(sets), SKETCH)
+            return [
+                pa.array([len(s) for s in sets], pa.int64()),
+                *(pa.array(np.ascontiguousarray(marks[:, k])) for k in (0, 1)),
+                pa.array([wide_sketch(s) for s in sets], pa.list_(pa.int64())),
+                *(pa.array(np.ascontiguousarray(bits[:, k])) for k in range(SKETCH)),
+            ]
 
         return kernel
 
-    return annotate(docs, "text", make, [field("n_shingles", T.LongType()), field("node", T.LongType())], drop=("text",))
+    return annotate(docs, "text", make, fields, drop=("text",))
 
 
 def _signatures(docs: DataFrame, n: int, enum: PartEnum) -> DataFrame:
-    """node and signatures; a task signs a set that it meets again only once."""
+    """key and signatures; a task signs a set that it meets again only once."""
 
     def make():
         hashes, seen = WordHashes(), set()
 
         def kernel(texts):
-            nodes, signs = [], []
+            signs = []
             for t in texts:
                 s = shingle_set(t, hashes, n)
-                node = set_id(s)
-                if len(s) and node not in seen:
-                    if len(seen) >= 1_000_000:
+                mark = xxhash.xxh3_128_digest(s.tobytes())
+                if len(s) and mark not in seen:
+                    if len(seen) >= 500_000:
                         seen.clear()
-                    seen.add(node)
+                    seen.add(mark)
                     signs.append(enum.sign(s).view(np.int64))
                 else:
                     signs.append(np.empty(0, np.int64))
-                nodes.append(node)
             offsets = np.concatenate([[0], np.cumsum([len(s) for s in signs])]).astype(np.int32)
-            return [pa.array(nodes, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(signs) if signs else np.empty(0, np.int64)))]
+            return [pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(signs) if signs else np.empty(0, np.int64)))]
 
         return kernel
 
-    fields = [field("node", T.LongType()), field("signs", T.ArrayType(T.LongType()))]
-    return annotate(docs.select("text"), "text", make, fields, drop=("text",))
-
-
-SKETCH = 16
-
-
-def sketch(features: np.ndarray) -> np.ndarray:
-    """64 * SKETCH parity bits; sets that differ by d features differ by d bits at most."""
-    counts = np.bincount((features & np.uint64(64 * SKETCH - 1)).astype(np.int64), minlength=64 * SKETCH)
-    return np.packbits((counts & 1).astype(np.uint8)).view(np.int64)
+    return annotate(docs, "text", make, [field("signs", T.ArrayType(T.LongType()))], drop=("text",))
 
 
 def _features(docs: DataFrame, n: int) -> DataFrame:
-    """node, its features, their number ``size`` and the sketch ``s0``, ``s1`` and so on."""
+    """``docs`` without its text, with its features."""
 
     def make():
         hashes = WordHashes()
@@ -150,19 +176,11 @@ def _features(docs: DataFrame, n: int) -> DataFrame:
             sets = [shingle_set(t, hashes, n) for t in texts]
             offsets = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
             values = np.concatenate(sets).view(np.int64) if sets else np.empty(0, np.int64)
-            bits = np.array([sketch(s) for s in sets], np.int64).reshape(len(sets), SKETCH)
-            return [
-                pa.array([set_id(s) for s in sets], pa.int64()),
-                pa.ListArray.from_arrays(pa.array(offsets), pa.array(values)),
-                pa.array([len(s) for s in sets], pa.int64()),
-                *(pa.array(np.ascontiguousarray(bits[:, k])) for k in range(SKETCH)),
-            ]
+            return [pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))]
 
         return kernel
 
-    fields = [field("node", T.LongType()), field("features", T.ArrayType(T.LongType())), field("size", T.LongType())]
-    fields += [field(f"s{k}", T.LongType()) for k in range(SKETCH)]
-    return annotate(docs, "text", make, fields, drop=("text",))
+    return annotate(docs, "text", make, [field("features", T.ArrayType(T.LongType()))], drop=("text",))
 
 
 def _sketches(features: DataFrame, node: str, mark: str) -> DataFrame:
@@ -176,15 +194,32 @@ def _may_link(a: str, b: str, num: int, den: int) -> Column:
     return (F.least(x, y) * den >= F.greatest(x, y) * num) & (bits * (den + num) <= (x + y) * (den - num))
 
 
-def _linked(pairs: DataFrame, features: DataFrame, num: int, den: int) -> DataFrame:
+def _folded(wide: Column, words: Column) -> Column:
+    """A wide sketch of at most twice ``words`` words folded to that length."""
+    half = F.zip_with(F.slice(wide, F.lit(1), words), F.slice(wide, words + 1, words), lambda x, y: x.bitwiseXOR(y))
+    return F.when(F.size(wide) > words, half).otherwise(wide)
+
+
+def _linked(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, shingle: int, num: int, den: int) -> DataFrame:
     """Those of the pairs (u, v) whose similarity reaches num / den."""
-    likely = pairs.join(_sketches(features, "u", "a"), "u").join(_sketches(features, "v", "b"), "v").where(_may_link("a", "b", num, den)).select("u", "v")
-    left = features.select(F.col("node").alias("u"), F.col("features").alias("fu"))
-    right = features.select(F.col("node").alias("v"), F.col("features").alias("fv"))
+    likely = pairs.join(_sketches(nodes, "u", "a"), "u").join(_sketches(nodes, "v", "b"), "v").where(_may_link("a", "b", num, den)).select("u", "v")
+    # large sets fill the short sketches, so those are held against wide ones
+    for node, mark in (("u", "a"), ("v", "b")):
+        likely = likely.join(nodes.select(F.col("node").alias(node), F.col("size").alias(f"{mark}size"), F.col("wide").alias(f"{mark}wide")), node)
+    words = F.least(F.size("awide"), F.size("bwide"))
+    bits = F.aggregate(F.zip_with(_folded(F.col("awide"), words), _folded(F.col("bwide"), words), lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda t, n: t + n)
+    fits = bits * (den + num) <= (F.col("asize") + F.col("bsize")) * (den - num)
+    likely = cut(likely.where((words == SKETCH) | fits).select("u", "v"), "likely")
+
+    wanted = likely.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    texts = rows.select(F.col("key").alias("node"), "text").join(wanted, "node")
+    features = _features(texts, shingle).groupBy("node").agg(F.max_by("features", F.struct(F.size("features"), "features")).alias("features"))
+    features = cut(features, "features")
+    for node, name in (("u", "fu"), ("v", "fv")):
+        likely = likely.join(features.select(F.col("node").alias(node), F.col("features").alias(name)), node)
     a, b = F.size("fu"), F.size("fv")
-    joined = likely.join(left, "u").join(right, "v")
     same = F.size(F.array_intersect("fu", "fv"))
-    return joined.where(same * den >= (a + b - same) * num).select("u", "v")
+    return cut(likely.where(same * den >= (a + b - same) * num).select("u", "v"), "linked")
 
 
 def link_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, num: int = 9, den: int = 10) -> DataFrame:
@@ -193,30 +228,37 @@ def link_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     ``component_id`` is the smallest id that links reach, the row's own included.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).withColumn("key", _key("doc_id", "text"))
-    base = cut(_sets(rows, shingle), "sets")
+    sets = cut(_sets(rows, shingle), "sets")
+    same = sets.where("n_shingles > 0").groupBy("set_hi", "set_lo").agg(F.min("key").alias("node"))
+    named = sets.join(same, ["set_hi", "set_lo"], "left").withColumn("node", F.coalesce("node", "key"))
+    base = cut(named.select("doc_id", "key", "n_shingles", "node"), "nodes")
+    bits = [f"s{k}" for k in range(SKETCH)]
+    # rows that share a key have several sets; the largest stands for them
+    nodes = sets.groupBy("key").agg(F.max_by(F.struct(F.col("n_shingles").alias("size"), "wide", *bits), F.struct("n_shingles", "set_hi", "set_lo")).alias("x"))
+    nodes = cut(nodes.select(F.col("key").alias("node"), "x.*"), "sketches")
     enum = PartEnum(num, den)
 
-    signed = _signatures(rows, shingle, enum).select("node", F.explode("signs").alias("sign"))
-    order = Window.partitionBy("sign").orderBy("node")
-    first = F.first("node").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    buckets = signed.withColumn("hub", first).withColumn("prev", F.lag("node").over(order)).where("node <> hub AND node <> prev")
-    buckets = cut(buckets, "buckets")
-
-    nodes = buckets.select("node").unionByName(buckets.select(F.col("hub").alias("node"))).distinct()
-    wanted = cut(nodes, "wanted")
-    keys = base.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("key").alias("key"))
-    texts = rows.select("key", "text").join(keys.select("key").distinct(), "key", "left_semi")
-    features = cut(_features(texts.select("text"), shingle).join(wanted, "node", "left_semi").dropDuplicates(["node"]), "features")
-
-    # first with the hub of each bucket, then with the node before in it, then whatever is still apart
-    tried = cut(buckets.select(F.col("node").alias("u"), F.col("hub").alias("v")).distinct(), "pairs")
-    links = cut(_linked(tried, features, num, den), "links")
+    def verified(pairs: DataFrame) -> DataFrame:
+        return _linked(pairs, nodes, rows, shingle, num, den)
+
+    signed = _signatures(rows.select("key", "text"), shingle, enum).select("key", F.explode("signs").alias("sign"))
+    order = Window.partitionBy("sign").orderBy("key")
+    first = F.first("key").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    met = cut(signed.withColumn("hub", first).withColumn("prev", F.lag("key").over(order)).where("key <> prev"), "met")
+    buckets = cut(_as_nodes(met, base), "buckets")
+
+    # how often a node meets a hub says how alike they are
+    hubs = buckets.groupBy("node", "hub").agg(F.count(F.lit(1)).alias("n"))
+    best = hubs.groupBy("node").agg(F.max_by("hub", F.struct("n", "hub")).alias("v")).select(F.col("node").alias("u"), "v")
+    links = verified(best)
     parts = components(links)
-    known = _with_parts(buckets, parts, "prev")
-    chain = known.where("node_part <> prev_part AND prev <> hub").select(F.col("node").alias("u"), F.col("prev").alias("v")).distinct()
-    links = cut(links.unionByName(_linked(chain, features, num, den)), "links")
+    apart = []
+    for other in ("hub", "prev"):
+        known = _with_parts(buckets.select("node", other).where(f"node <> {other}").distinct(), parts, other)
+        apart.append(known.where(f"node_part <> {other}_part").select(F.greatest("node", other).alias("u"), F.least("node", other).alias("v")))
+    links = links.unionByName(verified(apart[0].unionByName(apart[1]).distinct()))
     parts = components(links)
-    links = cut(links.unionByName(_linked(_between(buckets, parts, features, num, den), features, num, den)), "links")
+    links = links.unionByName(verified(_between(buckets, parts, nodes, num, den)))
     parts = components(links)
 
     labelled = base.join(parts.withColumnRenamed("component", "part"), "node", "left").withColumn("part", F.coalesce("part", "node"))
@@ -225,6 +267,14 @@ def link_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return labelled.join(least, "part", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
+def _as_nodes(met: DataFrame, base: DataFrame) -> DataFrame:
+    """Bucket rows with nodes for keys; rows that then join a node with itself are dropped."""
+    nodes = base.where("key <> node").select("key", "node").distinct().withColumnRenamed("node", "_node")
+    for name in ("key", "hub", "prev"):
+        met = met.join(nodes.withColumnRenamed("key", name), name, "left").withColumn(name, F.coalesce("_node", name)).drop("_node")
+    return met.select("sign", F.col("key").alias("node"), "hub", "prev").where("node <> hub OR node <> prev").distinct()
+
+
 def _with_parts(buckets: DataFrame, parts: DataFrame, other: str) -> DataFrame:
     """``buckets`` with the components so far of ``node`` and of the column ``other``."""
     for name in ("node", other):
