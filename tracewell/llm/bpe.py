@@ -98,7 +98,7 @@ class MergeAutomaton:
         key = state << 20 | arc
         known = self._rows.get(key)
         if known is None:
-            if len(self._rows) >= 4 * CACHE_WORDS:
+            if len(self._rows) >= 2 * CACHE_WORDS:
                 self._rows.clear()
             known = self._rows[key] = self._live(state, arc, 1 << 30)
         return known
@@ -213,15 +213,6 @@ class WordBpe:
         return " ".join(map(self.labels.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
-_LOADED: dict[str, WordBpe] = {}
-
-
-def loaded(path: str) -> WordBpe:
-    if path not in _LOADED:
-        _LOADED[path] = WordBpe(path)
-    return _LOADED[path]
-
-
 def encode_decode(df: DataFrame, vocabulary: str, text_col: str = "text", drop: tuple[str, ...] = ()) -> DataFrame:
     """Append ``ids`` (binary, little-endian 32-bit) and ``decoded`` (string).
 
@@ -230,7 +221,7 @@ def encode_decode(df: DataFrame, vocabulary: str, text_col: str = "text", drop:
     """
 
     def make():
-        bpe = loaded(vocabulary)
+        bpe = WordBpe(vocabulary)
 
         def kernel(texts):
             ids = [bpe.encode(t.decode("utf-8", "replace")) if t else b"" for t in texts]

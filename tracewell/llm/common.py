@@ -8,6 +8,9 @@ never shuffles, never groups and can be re-run on any executor.
 
 from __future__ import annotations
 
+import ctypes
+import gc
+import sys
 import uuid
 from collections.abc import Callable, Iterator, Sequence
 
@@ -23,7 +26,7 @@ Kernel = Callable[[list], Sequence[pa.Array]]
 BATCH_ROWS = 512
 
 #: Words remembered by one task; beyond it the memory is emptied and filled anew.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 250_000
 
 #: A-Z to a-z and every other byte to itself.
 LOWER_ASCII = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -61,10 +64,22 @@ def annotate(
             columns = [batch.column(n) for n in kept_names]
             columns += kernel(column_bytes(batch, text_col))
             yield pa.RecordBatch.from_arrays(columns, names=[*kept_names, *(f.name for f in fields)])
+        del kernel
+        give_back()
 
     return df.mapInArrow(run, T.StructType([*kept, *fields]))
 
 
+def give_back() -> None:
+    """Return free memory to the system: the same worker process runs the tasks of later stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # absent from some C libraries
+        if trim:
+            trim(0)
+
+
 def column_bytes(batch: pa.RecordBatch, name: str) -> list:
     """A string column as UTF-8 bytes; null stays None."""
     column = batch.column(name)

@@ -231,12 +231,12 @@ class ToxicityModel:
     trees: Trees
     xs: np.ndarray
     ys: np.ndarray
-    cache: dict = dc_field(default_factory=dict)
 
-    def scores(self, texts: list[str]) -> np.ndarray:
+    def scores(self, texts: list[str], cache: dict | None = None) -> np.ndarray:
         if not texts:
             return np.empty(0)
-        x = np.array([features(t, self.lexicon, self.cache) for t in texts])
+        cache = {} if cache is None else cache
+        x = np.array([features(t, self.lexicon, cache) for t in texts])
         raw = self.trees.score(x)
         # a trace of the raw score keeps the order inside a flat step
         mapped = np.interp(raw, self.xs, self.ys) if len(self.xs) else 1 / (1 + np.exp(-raw))
@@ -283,6 +283,7 @@ def score(docs: DataFrame, model: ToxicityModel, text_col: str = "text", drop: t
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def make():
-        return lambda texts: [pa.array(shared.value.scores([t.decode("utf-8", "replace") if t else "" for t in texts]), pa.float64())]
+        cache: dict = {}
+        return lambda texts: [pa.array(shared.value.scores([t.decode("utf-8", "replace") if t else "" for t in texts], cache), pa.float64())]
 
     return annotate(docs, text_col, make, [field("score", T.DoubleType())], drop)
