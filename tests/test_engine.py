@@ -97,6 +97,17 @@ def test_search(spark, tmp_path, folder):
     assert [(h["matched"], h["match_span_start"], h["match_span_end"]) for h in hits] == [("password", "7", "15")]
 
 
+def test_decoded_lines(spark, tmp_path):
+    from tracewell.functions import encoding
+    from tracewell.operators import search
+
+    mixed = E.put(tmp_path, "m.log", "한글\n".encode() + "한글\n".encode("cp949") * 3)
+    rows = spark.createDataFrame([(str(mixed),), ("/no/such",)], "path string")
+    got = [(r.line_no, r.line, r.encoding) for r in search.decoded_lines(rows).orderBy("path", "line_no").collect()]
+    assert got == [(None, None, None), (1, "한글\n", "utf-8"), *((k, "한글\n", "cp949") for k in (2, 3, 4))]
+    assert encoding.decode_file(str(mixed)) == (["한글\n"] * 4, "mixed(utf-8,cp949)") and encoding.decode_file("/no/such") is None
+
+
 def test_search_skips_and_previews(spark, tmp_path):
     root = tmp_path / "r"
     E.put(root, "big.txt", "needle " * 400)

@@ -133,6 +133,26 @@ def search_files(candidates: DataFrame, patterns: list[re.Pattern], encodings: S
     return candidates.select("path").mapInPandas(run, schema)
 
 
+def decoded_lines(files: DataFrame, encodings: Sequence[str] = encoding.ENCODINGS) -> DataFrame:
+    """``path``, ``line_no``, ``line`` and ``encoding`` of every line; a file that can't be read is one row with only its path."""
+    schema = schemas.schema("path:s line_no:i line:s encoding:s")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for path in batch["path"]:
+                try:
+                    with open(path, "rb") as f:
+                        found = encoding.decode_lines(f.read(), encodings)
+                except OSError:
+                    yield pd.DataFrame([(path, None, None, None)], columns=schema.names).astype({"line_no": "Int32"})
+                    continue
+                for at in range(0, len(found), 10_000):
+                    rows = [(path, at + k, line, name) for k, (line, name) in enumerate(found[at : at + 10_000], 1)]
+                    yield pd.DataFrame(rows, columns=schema.names).astype({"line_no": "Int32"})
+
+    return files.select("path").mapInPandas(run, schema)
+
+
 def _preview(line: str, a: int, b: int, width: int = values.PREVIEW_CHARS) -> str:
     if len(line) <= width:
         return line
