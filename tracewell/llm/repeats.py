@@ -316,13 +316,14 @@ def repeated_spans(rows: DataFrame, length: int = 200, block_bytes: int = BLOCK_
     """(key, lo, hi): stretches of bytes to remove, possibly overlapping, for rows (key, text)."""
     spark = prepare(rows.sparkSession)
     found = cut(_anchor_rows(rows, length), "anchors")
-    twice = found.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram")
+    # counts are written before they are joined: only then can a join split a gram that a third of all texts hold
+    twice = cut(found.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram"), "twice")
     found = cut(found.join(twice, "gram"), "candidates")
 
     kinds = cut(found.groupBy("gram", "context").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "lo", "hi")).alias("first")), "kinds")
     whole = found.join(kinds.where("n > 1").select("gram", "context"), ["gram", "context"]).select("key", "lo", "hi")
 
-    varied = kinds.groupBy("gram").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
+    varied = cut(kinds.groupBy("gram").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1"), "varied")
     wanted = kinds.join(varied, "gram").select("gram", "kinds", "first.*")
     per_text = wanted.groupBy("key").agg(F.collect_list(F.struct("gram", "kinds", "lo", "hi")).alias("wanted"))
     data = F.expr("substring(CAST(text AS BINARY), w.lo + 1, w.hi - w.lo)")
@@ -333,7 +334,7 @@ def repeated_spans(rows: DataFrame, length: int = 200, block_bytes: int = BLOCK_
     blocks = contexts.where(F.col("kinds") <= block_contexts).repartition(parts, "gram").sortWithinPartitions("gram")
     strings = _string_rows(contexts.where(F.col("kinds") > block_contexts), length).distinct()
     strings = cut(strings, "strings")
-    again = strings.groupBy("print").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("print")
+    again = cut(strings.groupBy("print").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("print"), "again")
     common = strings.join(again, "print").select("key", "lo", (F.col("lo") + length).alias("hi"))
     return whole.unionByName(_block_rows(blocks, length, block_bytes)).unionByName(common)
 
