@@ -15,14 +15,14 @@ def _neighbours(edges: DataFrame) -> DataFrame:
 def _large_star(edges: DataFrame) -> DataFrame:
     """Larger neighbours of each node move to its smallest neighbour."""
     both = _neighbours(edges)
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    least = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
     return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Smaller neighbours of each node, and itself, move to the smallest of them."""
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
+    least = cut(down.groupBy("u").agg(F.min("v").alias("m")), "least")
     moved = down.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
@@ -31,7 +31,9 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of ``edges`` (u, v); a component is its smallest node.
 
     Each round is written to the shared folder, so no lineage grows and no
-    edge ever reaches the driver; only a count and a checksum do.
+    edge ever reaches the driver; only a count and a checksum do.  So are the
+    smallest neighbours: a join of two tables can be split where one node has
+    very many neighbours, one of a table and an aggregate can't.
     """
     edges = cut(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     seen = None

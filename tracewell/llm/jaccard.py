@@ -229,7 +229,8 @@ def link_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).withColumn("key", _key("doc_id", "text"))
     sets = cut(_sets(rows, shingle), "sets")
-    same = sets.where("n_shingles > 0").groupBy("set_hi", "set_lo").agg(F.min("key").alias("node"))
+    # aggregates are written before they are joined: only then can a join split a hot set
+    same = cut(sets.where("n_shingles > 0").groupBy("set_hi", "set_lo").agg(F.min("key").alias("node")), "same")
     named = sets.join(same, ["set_hi", "set_lo"], "left").withColumn("node", F.coalesce("node", "key"))
     base = cut(named.select("doc_id", "key", "n_shingles", "node"), "nodes")
     bits = [f"s{k}" for k in range(SKETCH)]
@@ -263,7 +264,7 @@ def link_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     labelled = base.join(parts.withColumnRenamed("component", "part"), "node", "left").withColumn("part", F.coalesce("part", "node"))
     labelled = cut(labelled.select("doc_id", "n_shingles", "part"), "labelled")
-    least = labelled.where("n_shingles > 0").groupBy("part").agg(F.min("doc_id").alias("least"))
+    least = cut(labelled.where("n_shingles > 0").groupBy("part").agg(F.min("doc_id").alias("least")), "least")
     return labelled.join(least, "part", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
