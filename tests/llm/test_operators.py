@@ -430,6 +430,12 @@ def test_probabilities_sum_to_one(spark):
     assert model.look_up(asked).agg(F.sum(F.exp("logp"))).first()[0] == pytest.approx(1.0)
 
 
+def test_trusted_texts_by_either_join(spark):
+    docs, ids = docs_of(spark, ["a", "b", None, "d"]), spark.createDataFrame([(1,), (3,), (None,)], "doc_id long")
+    for bound in (0, 10):
+        assert sorted(r.text for r in perplexity.trusted_texts(docs, ids, bound=bound).collect()) == ["b", "d"]
+
+
 def test_perplexity_parts_good_from_bad(spark):
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     got = queries.op8_perplexity(spark, "/root/testdata/sf0.01").join(labels, "doc_id").groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("share")).collect()

@@ -37,6 +37,8 @@ CHUNK_ROWS = 8192
 QUANTILE, MARGIN = 0.999, 1.1
 #: A text of this many bytes is allowed twice the limit, as a mean over few bytes varies more.
 SHORT_BYTES = 16
+#: Ids that are broadcast at most (8 bytes each).
+BROADCAST_IDS = 2_000_000
 #: Distinct grams that a task gathers before it hands them on.
 GATHER = 1 << 20
 
@@ -216,6 +218,12 @@ def perplexities(docs: DataFrame, model: KneserNey, keep: list[str]) -> DataFram
     return packed.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(score, schema)
 
 
+def trusted_texts(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id", bound: int = BROADCAST_IDS) -> DataFrame:
+    """Texts of the documents with an id in ``ids``; up to ``bound`` ids the texts are not shuffled for it."""
+    few = ids.limit(bound + 1).count() <= bound
+    return docs.select(id_col, "text").join(F.broadcast(ids) if few else ids, id_col, "left_semi").select("text")
+
+
 def schema_table(schema: T.StructType) -> pa.Table:
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -229,7 +237,8 @@ def chunk_of(path: Column, row: Column, rows: int = CHUNK_ROWS) -> Column:
 
 def verdict(scored: DataFrame, trusted: Column, lang: Column, quantile: float = QUANTILE, margin: float = MARGIN) -> DataFrame:
     """Append ``limit`` and ``kept``: the perplexity must not pass its language's quantile over trusted texts."""
-    rows = scored.withColumns({"_trusted": F.coalesce(trusted, F.lit(False)), "_lang": lang})
+    # written once: thresholds and verdicts both read it
+    rows = cut(scored.withColumns({"_trusted": F.coalesce(trusted, F.lit(False)), "_lang": lang}), "scored")
     good = rows.where(F.col("_trusted") & F.col("perplexity").isNotNull())
     every = F.percentile_approx("perplexity", quantile, 10_000)
     limits = good.groupBy("_lang").agg(every.alias("_limit"))

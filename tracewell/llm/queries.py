@@ -93,8 +93,8 @@ def op8_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
     place = perplexity.chunk_of(F.col("_metadata.file_path"), F.col("_metadata.row_index"))
     docs = documents(spark, sf_dir, "doc_id", "text", "lang", place.alias("chunk"))
     good = spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1").select("doc_id").distinct()
-    trusted = docs.select("doc_id", "text").join(good, "doc_id", "left_semi")
-    scored = perplexity.perplexities(docs, perplexity.KneserNey(trusted.select("text")), ["doc_id", "lang"])
+    model = perplexity.KneserNey(perplexity.trusted_texts(docs, good))
+    scored = perplexity.perplexities(docs, model, ["doc_id", "lang"])
     scored = scored.join(good.withColumn("trusted", F.lit(True)), "doc_id", "left")
     judged = perplexity.verdict(scored, F.col("trusted"), F.col("lang"))
     return judged.select("doc_id", "n_bytes", F.round("perplexity", 6).alias("perplexity"), F.round("limit", 6).alias("limit"), "kept")
