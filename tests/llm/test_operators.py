@@ -205,6 +205,22 @@ def test_decontamination_without_items_and_with_cleaning(spark):
     assert got.clean_text == "Start. ! End"
 
 
+def test_blocks_of_items_clean_as_one(spark):
+    items = spark.createDataFrame([(1, "a b c d e f"), (2, "d e f g h i"), (3, "x y z"), (4, "c j k")], "item_id long, text string")
+    texts = [*ODD, "1 a b c d e f g h i 2", "a b c X y z j k", "q a b c j k r", "c d e f g", "a b c. d e f, g h! x y z", "x y a b c d z"]
+    docs = docs_of(spark, texts)
+
+    def rows(block, least):
+        found = decontaminate.find_contamination(docs, items, window=3, clean=True, min_span_words=least, block_words=block)
+        found = found.withColumns({"hit_items": F.array_sort("hit_items"), "n_hit": decontaminate.hit_words()})
+        return {r.doc_id: r for r in found.select("doc_id", "n_words", "n_hit", "hit_spans", "hit_items", "clean_text").collect()}
+
+    for least in (0, 5):
+        one = rows(decontaminate.BLOCK_WORDS, least)
+        assert rows(1, least) == one and rows(9, least) == one
+    assert one[len(ODD)].clean_text == "1  2" and one[len(ODD)].n_hit == 9
+
+
 # ---- secrets --------------------------------------------------------------------------------------------
 
 

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER_ASCII, annotate, field
+from .common import LOWER_ASCII, annotate, column_bytes, field
 
 #: Bytes of words: digits, letters and everything outside ASCII; all else becomes a space.
 WORD_BYTES = bytes(LOWER_ASCII[b] if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
@@ -162,6 +162,45 @@ def cut_words(text: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join([*out, text[at:]])
 
 
+def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The same words in spans that neither overlap nor touch, as ``scan`` gives them."""
+    out: list[tuple[int, int]] = []
+    for start, end in sorted(spans):
+        if out and out[-1][1] >= start:
+            out[-1] = (out[-1][0], max(end, out[-1][1]))
+        else:
+            out.append((start, end))
+    return out
+
+
+def _cleaned(text: bytes | None, spans: list[tuple[int, int]], least: int) -> str | None:
+    long = [s for s in spans if s[1] - s[0] >= least]
+    return cut_words(text, long).decode("utf-8") if long else text and text.decode("utf-8")
+
+
+def _span_array(rows: list[list[tuple[int, int]]]) -> pa.Array:
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+    return pa.array([[{"start": a, "end": b} for a, b in spans] for spans in rows], kind)
+
+
+def _span_lists(spans: pa.Array) -> list[list[tuple[int, int]]]:
+    return [[(s["start"], s["end"]) for s in row] for row in spans.to_pylist()]
+
+
+@F.arrow_udf(_SPANS)
+def _merge(spans: pa.Array) -> pa.Array:
+    return _span_array([merged(row) for row in _span_lists(spans)])
+
+
+def _cut_with(least: int):
+    @F.arrow_udf(T.StringType())
+    def clean(text: pa.Array, spans: pa.Array) -> pa.Array:
+        texts = column_bytes(pa.RecordBatch.from_arrays([text], names=["text"]), "text")
+        return pa.array([_cleaned(t, row, least) for t, row in zip(texts, _span_lists(spans), strict=True)], pa.string())
+
+    return clean
+
+
 def _blocks(items: DataFrame, id_col: str, text_col: str, window: int, block_words: int):
     """Automata of at most ``block_words`` words each; rows reach the driver one by one."""
     block: list = []
@@ -194,15 +233,20 @@ def find_contamination(
     With ``clean`` the column ``clean_text`` holds the text without its hit
     spans of at least ``min_span_words`` words.  Items beyond ``block_words``
     words go through block by block, each over all of ``docs``, so what is
-    broadcast never exceeds one block.
+    broadcast never exceeds one block.  Every block is held against the whole
+    text; the spans are merged and cut once after the last one.
     """
     sc = docs.sparkSession.sparkContext
+    blocks = _blocks(items, item_id_col, item_text_col, window, block_words)
+    automaton, following = next(blocks), next(blocks, None)
+    several = following is not None
     fields = [field("n_words", T.LongType()), field("hit_spans", _SPANS), field("hit_items", T.ArrayType(T.StringType()))]
-    if clean:
+    at_once = clean and not several
+    if at_once:
         fields.append(field("clean_text", T.StringType()))
     out = docs
     first = True
-    for automaton in _blocks(items, item_id_col, item_text_col, window, block_words):
+    while automaton is not None:
         shared = sc.broadcast(automaton)
 
         def make(shared=shared):
@@ -214,33 +258,28 @@ def find_contamination(
                     words = words_of(text)
                     sizes.append(len(words))
                     got, items_hit = scan(words)
-                    spans.append([{"start": a, "end": b} for a, b in got])
+                    spans.append(got)
                     keys.append(sorted(("" if k is None else k) for k in items_hit))
-                    if clean:
-                        cut = [s for s in got if s[1] - s[0] >= min_span_words]
-                        cleaned.append(cut_words(text, cut).decode("utf-8") if cut else text and text.decode("utf-8"))
-                arrays = [pa.array(sizes, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), pa.array(keys, pa.list_(pa.string()))]
-                return arrays + ([pa.array(cleaned, pa.string())] if clean else [])
+                    if at_once:
+                        cleaned.append(_cleaned(text, got, min_span_words))
+                arrays = [pa.array(sizes, pa.int64()), _span_array(spans), pa.array(keys, pa.list_(pa.string()))]
+                return arrays + ([pa.array(cleaned, pa.string())] if at_once else [])
 
             return kernel
 
         if first:
             out = annotate(out, text_col, make, fields)
-        elif clean:
-            # words that an earlier block left are judged on the text that it left
-            before = out.withColumnsRenamed({"hit_spans": "_spans", "hit_items": "_items", "n_words": "_n"})
-            out = annotate(before, "clean_text", make, fields).select(
-                *[c for c in docs.columns if c not in {f.name for f in fields}],
-                F.col("_n").alias("n_words"),
-                F.concat("_spans", "hit_spans").alias("hit_spans"),
-                F.array_union("_items", "hit_items").alias("hit_items"),
-                "clean_text",
-            )
         else:
             before = out.withColumnsRenamed({"hit_spans": "_spans", "hit_items": "_items"})
             out = annotate(before, text_col, make, fields)
             out = out.withColumn("hit_spans", F.concat("_spans", "hit_spans")).withColumn("hit_items", F.array_union("_items", "hit_items")).drop("_spans", "_items")
         first = False
+        automaton = following
+        following = next(blocks, None)
+    if several:
+        out = out.withColumn("hit_spans", _merge("hit_spans"))
+        if clean:
+            out = out.withColumn("clean_text", _cut_with(min_span_words)(text_col, "hit_spans"))
     return out.drop(*drop)
 
 
