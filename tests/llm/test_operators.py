@@ -264,6 +264,30 @@ def test_crf_finds_held_out_secrets_and_leaves_numbers_alone(spark):
     assert model.spans("auth key: ghp_9aZ8bY7cX6dW5eV4fU3gT2hS1iR0 end")
 
 
+def test_runs_are_decoded_whole_and_letters_too(spark):
+    model = secrets.train(spark.read.parquet("/root/testdata/sf0.1/documents.parquet"))
+    key = "ghp_9aZ8bY7cX6dW5eV4fU3gT2hS1iR0"
+    for value in (key, "QmzTfWbLkRxVnHsYpDjGcAeU", "hunterlongpassphrase"):
+        for head in ("the auth key: ", "bearer = "):
+            assert model.spans(f"{head}{value} end") == [(len(head), len(head) + len(value))], head + value
+    for sign in "=-":
+        head = "the auth key: " + sign * 70
+        assert model.spans(f"{head}{key} end") == [(len(head), len(head) + len(key))]
+    assert model.spans("Understanding international documentation requires considerable experience.") == []
+    long = "=a1" * 5000
+    assert [x for c in secrets.chains(long) for x in c.spans] == [(k, k + 1) if j == "=" else (k, k + 2) for k, j in enumerate(long) if j != "1"]
+
+
+def test_letter_runs_score_as_their_chains():
+    rng = np.random.default_rng(3)
+    crf = secrets.Crf()
+    crf.weights = rng.normal(size=crf.weights.shape)
+    text = "\n".join(" ".join("".join(rng.choice(list("abXY1=:é"), int(rng.integers(1, 14)))) for _ in range(9)) for _ in range(60)) + " key: abcdefgh token="
+    want = [s for c in secrets.chains(text) for s, k in zip(c.spans, crf.viterbi(c.features), strict=True) if len(c.spans) == 1 and k == 1 and text[slice(*s)].isalpha()]
+    got = [s for s in crf.spans(text) if text[slice(*s)].isalpha()]
+    assert want and [s for s in got if s in want] == want
+
+
 def test_scan_keeps_base_spans_and_redacts(spark):
     h = "0123456789abcdef" * 2
     texts = [*ODD, f"x token={h} y {h} AKIA0123456789ABCD z"]

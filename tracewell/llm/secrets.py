@@ -1,11 +1,13 @@
 """Secret scans: fixed patterns, and a linear-chain CRF that tags what they miss.
 
-The patterns give the base spans.  The CRF looks at every run of characters
-that holds a digit (everything else is outside by definition, which makes the
-chain fall apart into short ones that are decoded exactly): the run is cut into
-tokens, two words on either side join the chain, and Viterbi finds the best
-begin/inside/outside path over shape, neighbour and file features.  It learns
-from a bounded sample of documents in which the base spans are the labels.
+The patterns give the base spans.  The CRF looks at every run of at least
+``LEAST`` word characters that holds a letter or digit (everything else is
+outside by definition, which makes the chain fall apart into short ones that
+are decoded exactly): the whole run is cut into tokens, two words on either
+side join the chain, and Viterbi finds the best begin/inside/outside path over
+shape, neighbour and file features.  The CRF learns from a bounded sample of documents in which the
+base spans are the labels; of letter runs without a keyword or sign before them
+only a share is in the sample, and runs of many tokens are learnt in pieces.
 
 Defined cases: null text is taken as empty and has no spans; offsets are code
 points; equal texts get equal spans; a corpus without any secret gives a CRF
@@ -18,6 +20,8 @@ import math
 import re
 import zlib
 from collections import Counter
+from collections.abc import Iterable
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -46,10 +50,29 @@ ALPHABETS = (
     ("abcdefghijklmnopqrstuvwxyz0123456789", 20, 44),
     ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", 20, 44),
     ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", 24, 64),
+    ("0123456789abcdef", 32, 48),
+    ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", 20, 44),
+    ("abcdefghijklmnopqrstuvwxyz", 16, 32),
 )
 
-_DIGITS = re.compile(r"[0-9]+")
-_RUN = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-")
+#: Variants of one secret from each alphabet.
+DRAWS = 2
+#: What stands before a value in one run: a sign or part again and again, up to so many characters.
+LEADS = ("=", "-", "=", "-", "_", "ab/", "some.name.", "x-y=")
+MOST_LEAD = 160
+
+#: Least characters of a run.
+LEAST = 8
+#: Tokens of a piece that the CRF learns from; decoding takes whole runs.
+PIECE = 64
+#: One of so many letter runs of prose is learnt from.
+PROSE_SHARE = 16
+#: AdaGrad's squares at the start: small beside the gradient of a feature that few of many tokens have.
+START_SQUARES = 1e-6
+#: Parts of runs that a task remembers, of each kind.
+REMEMBERED = 50_000
+
+_RUNS = re.compile(r"[A-Za-z0-9+/_.=-]{%d,}" % LEAST)
 _TOKEN = re.compile(r"[A-Za-z0-9]+|[^A-Za-z0-9]")
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _KEYWORD = re.compile(r"(?i)pass|pwd|secret|token|key|auth|cred|bearer")
@@ -88,59 +111,179 @@ class Chain:
         self.spans, self.inner, self.features = spans, inner, features
 
 
-def chains(text: str) -> list[Chain]:
-    """The stretches of ``text`` that hold a digit, with two words around."""
+def _ids(names: list[str]) -> list[int]:
+    return [zlib.crc32(f.encode()) % FEATURES for f in names]
+
+
+def _file_features(text: str) -> list[str]:
+    return [f"file:lines{_bucket(text.count(chr(10)))}", f"file:equals{_bucket(text.count('='))}", f"file:size{_bucket(len(text))}"]
+
+
+def _run_features(run: str) -> list[str]:
+    counts = Counter(run)
+    entropy = -sum(v / len(run) * math.log2(v / len(run)) for v in counts.values())
+    digits = sum(map(str.isdigit, run)) / len(run)
+    return [
+        f"run:len{_bucket(len(run))}",
+        f"run:entropy{int(entropy * 2)}",
+        f"run:digits{int(digits * 5)}",
+        f"run:hex{all(c in '0123456789abcdefABCDEF' for c in run)}",
+        f"run:mixed{any(c.isupper() for c in run) + 2 * any(c.islower() for c in run)}",
+    ]
+
+
+def _token_features(token: str, first: bool) -> list[str]:
+    return [f"tok:shape{_shape(token)}", f"tok:len{_bucket(len(token))}", f"tok:first{first}", f"tok:sign{token if not token.isalnum() else ''}"]
+
+
+def _key_features(key: bool, sign: bool) -> list[str]:
+    return [f"left:key{key}", f"left:sign{sign}"]
+
+
+def _left_features(k: int, word: str) -> list[str]:
+    known = len(word) < 16 and not word.isalpha() or _KEYWORD.search(word)
+    return [f"left:shape{k}:{_shape(word)}", *([f"left:word{k}:{word}"] if known else [])]
+
+
+def _right_features(k: int, word: str) -> list[str]:
+    return [f"right:shape{k}:{_shape(word)}"]
+
+
+def _around(text: str, a: int, b: int) -> tuple[bool, bool, list[str], list[str]]:
+    """Whether a keyword and whether a sign stand before, the words before (nearest first) and those behind."""
+    before = text[max(0, a - _AROUND) : a]
+    left = [x.lower() for x in reversed(_WORD.findall(before)[-2:])]
+    right = [x.lower() for x in _WORD.findall(text[b : b + _AROUND])[:2]]
+    return bool(_KEYWORD.search(before[-24:])), before.rstrip(" \"'")[-1:] in ("=", ":"), left, right
+
+
+def _chain(text: str, a: int, b: int, whole: list[str]) -> Chain:
+    """All tokens of the run from ``a`` to ``b``; equal tokens share their list of features."""
+    run = text[a:b]
+    key, sign, left, right = _around(text, a, b)
+    common = [*whole, *_run_features(run), *_key_features(key, sign)]
+    for k, w in enumerate(left):
+        common += _left_features(k, w)
+    for k, w in enumerate(right):
+        common += _right_features(k, w)
+    shared = _ids(common)
+    known: dict[tuple[str, bool], list[int]] = {}
+    spans, features = [], []
+    for t in _TOKEN.finditer(run):
+        own = (t.group(), t.start() == 0)
+        if own not in known:
+            known[own] = _ids(_token_features(*own)) + shared
+        spans.append((a + t.start(), a + t.end()))
+        features.append(known[own])
+    return Chain(spans, (a, b), features)
+
+
+def chains(text: str, prose_share: int = 1, whole: list[str] | None = None) -> list[Chain]:
+    """The runs of ``text``, with two words around; of letter runs of prose one in ``prose_share``."""
     out: list[Chain] = []
-    last = 0
-    n = len(text)
-    dense = None
-    for m in _DIGITS.finditer(text):
-        if m.start() < last:
-            continue
+    for m in _RUNS.finditer(text):
         a, b = m.span()
-        while a > last and text[a - 1] in _RUN:
-            a -= 1
-        while b < n and text[b] in _RUN:
-            b += 1
-        last = b
-        if b - a < 8:
-            continue
-        if dense is None:
-            dense = [f"file:lines{_bucket(text.count(chr(10)))}", f"file:equals{_bucket(text.count('='))}", f"file:size{_bucket(n)}"]
-        before = text[max(0, a - _AROUND) : a]
-        left = [x.lower() for x in _WORD.findall(before)[-2:]]
-        right = [x.lower() for x in _WORD.findall(text[b : b + _AROUND])[:2]]
-        key = bool(_KEYWORD.search(before[-24:]))
-        run = text[a:b]
-        counts = Counter(run)
-        entropy = -sum(v / len(run) * math.log2(v / len(run)) for v in counts.values())
-        digits = sum(map(str.isdigit, run)) / len(run)
-        common = [
-            *dense,
-            f"run:len{_bucket(b - a)}",
-            f"run:entropy{int(entropy * 2)}",
-            f"run:digits{int(digits * 5)}",
-            f"run:hex{all(c in '0123456789abcdefABCDEF' for c in run)}",
-            f"run:mixed{any(c.isupper() for c in run) + 2 * any(c.islower() for c in run)}",
-            f"left:key{key}",
-            f"left:sign{before.rstrip(' ' + chr(34) + chr(39))[-1:] in ('=', ':')}",
-            *(f"left:shape{k}:{_shape(w)}" for k, w in enumerate(reversed(left))),
-            *(f"left:word{k}:{w}" for k, w in enumerate(reversed(left)) if len(w) < 16 and not w.isalpha() or _KEYWORD.search(w)),
-            *(f"right:shape{k}:{_shape(w)}" for k, w in enumerate(right)),
-        ]
-        spans, features = [], []
-        for t in list(_TOKEN.finditer(run))[:64]:
-            s = t.group()
-            own = [f"tok:shape{_shape(s)}", f"tok:len{_bucket(len(s))}", f"tok:first{t.start() == 0}", f"tok:sign{s if not s.isalnum() else ''}"]
-            spans.append((a + t.start(), a + t.end()))
-            features.append([zlib.crc32(f.encode()) % FEATURES for f in own + common])
-        if spans:
-            # the tail of a run of more than 64 tokens belongs to its last token
-            spans[-1] = (spans[-1][0], b)
-            out.append(Chain(spans, (a, b), features))
+        run = m.group()
+        if prose_share > 1 and run.isalpha() and zlib.crc32(f"{a}:{run}".encode()) % prose_share:
+            before = text[max(0, a - _AROUND) : a]
+            if not _KEYWORD.search(before[-24:]) and before.rstrip(" \"'")[-1:] not in ("=", ":"):
+                continue
+        if any(map(str.isalnum, run)):
+            whole = whole or _file_features(text)
+            out.append(_chain(text, a, b, whole))
     return out
 
 
+#: Characters that str.split and str.lower take otherwise than the patterns.
+_ODD = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\u017f\u0130]")
+_KEYWORDS = _KEYWORD.pattern.removeprefix("(?i)").split("|")
+
+
+class Scorer:
+    """Best labels of runs from sums of weights that are remembered by part, so that words of prose cost little."""
+
+    def __init__(self, crf: Crf):
+        self._weights = crf.weights.tolist()
+        self._start, self._moves = crf.start.tolist(), crf.moves.T.tolist()
+        self._marks = {(k, s): self._sum(_key_features(k, s)) for k in (False, True) for s in (False, True)}
+        self._held: list[dict] = [{} for _ in range(6)]
+
+    def _sum(self, names: list[str]) -> tuple[float, ...]:
+        return tuple(map(sum, zip(*(self._weights[f] for f in _ids(names)), strict=True)))
+
+    def _part(self, k: int, word, make) -> tuple[float, ...]:
+        held = self._held[k]
+        value = held.get(word)
+        if value is None:
+            if len(held) >= REMEMBERED:
+                held.clear()
+            value = held[word] = self._sum(make(word))
+        return value
+
+    def spans(self, text: str) -> list[tuple[int, int]]:
+        found: list[tuple[int, int]] = []
+        whole = None
+        for m in _RUNS.finditer(text):
+            run = m.group()
+            letters = run.isalpha()
+            if not letters and not any(map(str.isalnum, run)):
+                continue
+            a, b = m.span()
+            if whole is None:
+                whole = self._sum(_file_features(text))
+                odd = bool(_ODD.search(text))
+                low = text.lower()
+                some = odd or any(k in low for k in _KEYWORDS)
+            if odd:
+                key, sign, left, right = _around(text, a, b)
+            else:
+                before = text[max(0, a - _AROUND) : a]
+                left, right = before.split()[:-3:-1], text[b : b + _AROUND].split(None, 2)[:2]
+                key = some and bool(_KEYWORD.search(before[-24:]))
+                sign = before.rstrip(" \"'")[-1:] in ("=", ":")
+            parts = [whole, self._marks[key, sign], self._part(0, run, _run_features)]
+            for k, w in enumerate(left):
+                parts.append(self._part(1 + k, w, lambda w, k=k: _left_features(k, w.lower())))
+            for k, w in enumerate(right):
+                parts.append(self._part(3 + k, w, lambda w, k=k: _right_features(k, w.lower())))
+            if letters:
+                parts.append(self._part(5, (run, True), lambda t: _token_features(*t)))
+                out, begin, _ = map(sum, zip(*parts, strict=True))
+                if begin + self._start[1] > out + self._start[0]:
+                    found.append((a, b))
+                continue
+            shared = tuple(map(sum, zip(*parts, strict=True)))
+            tokens = list(_TOKEN.finditer(run))
+            own = (self._part(5, (t.group(), not t.start()), lambda t: _token_features(*t)) for t in tokens)
+            for t, label in zip(tokens, best_path(((x + p, y + q, z + r) for (x, y, z), (p, q, r) in zip(own, repeat(shared), strict=False)), self._start, self._moves), strict=True):
+                if label == 1:
+                    found.append((a + t.start(), a + t.end()))
+                elif label == 2 and found:
+                    found[-1] = (found[-1][0], a + t.end())
+        return found
+
+
+def best_path(emits: Iterable[tuple[float, ...]], start: list[float], moves: list[list[float]]) -> list[int]:
+    """Viterbi's labels; ``moves`` holds the weights into each label, by the label before."""
+    score: list[float] | None = None
+    back = bytearray()
+    for emit in emits:
+        if score is None:
+            score = [e + s for e, s in zip(emit, start, strict=True)]
+            continue
+        after = []
+        for e, (m0, m1, m2) in zip(emit, moves, strict=True):
+            x, y, z = score[0] + m0, score[1] + m1, score[2] + m2
+            k = 0 if x >= y and x >= z else 1 if y >= z else 2
+            back.append(k)
+            after.append((x, y, z)[k] + e)
+        score = after
+    path = [score.index(max(score))]
+    for t in range(len(back) // 3 - 1, -1, -1):
+        path.append(back[3 * t + path[-1]])
+    return path[::-1]
+
+
 class Crf:
     """Linear-chain conditional random field with labels 0 outside, 1 begin, 2 inside."""
 
@@ -150,8 +293,12 @@ class Crf:
         self.moves[0, 2] = -1e4  # inside never follows outside
         self.start = np.array([0.0, 0.0, -1e4])
 
-    def fit(self, data: list[tuple[Chain, list[int]]], rounds: int = 40, rate: float = 0.5, l2: float = 1e-3) -> Crf:
-        """AdaGrad on the conditional log-likelihood, all chains of one length at a time."""
+    def fit(self, data: list[tuple[Chain, list[int]]], rounds: int = 120, rate: float = 0.5, l2: float = 10.0) -> Crf:
+        """AdaGrad on the conditional log-likelihood, all chains of one length at a time.
+
+        ``l2`` is held against the sum over tokens, so that more tokens of prose
+        don't take away the weights of features that only secrets have.
+        """
         by_length: dict[int, list] = {}
         for chain, labels in data:
             by_length.setdefault(len(labels), []).append((chain.features, labels))
@@ -167,17 +314,16 @@ class Crf:
             self.start[0] = 1e3
             return self
         total = sum(len(y) for _, y in groups)
-        sums = [np.full((FEATURES, 3), 1e-2), np.full((3, 3), 1e-2)]
+        sums = [np.full((FEATURES, 3), START_SQUARES), np.full((3, 3), START_SQUARES)]
         for _ in range(rounds):
-            gw, gm = -l2 * self.weights, np.zeros((3, 3))
+            gw, gm = -l2 / total * self.weights, np.zeros((3, 3))
             for x, y in groups:
                 padded = np.vstack([self.weights, np.zeros((1, 3))])
                 emit = padded[x].sum(2)
                 node, edge = self._marginals(emit)
                 want = np.eye(3)[y] - node
-                flat = np.zeros((FEATURES + 1, 3))
-                np.add.at(flat, x.reshape(-1), np.repeat(want.reshape(-1, 3), x.shape[2], axis=0))
-                gw += flat[:FEATURES] / total
+                for k in range(3):
+                    gw[:, k] += np.bincount(x.ravel(), np.repeat(want[:, :, k].ravel(), x.shape[2]), FEATURES + 1)[:FEATURES] / total
                 if y.shape[1] > 1:
                     np.add.at(gm, (y[:, :-1].ravel(), y[:, 1:].ravel()), 1.0 / total)
                     gm -= edge / total
@@ -203,27 +349,10 @@ class Crf:
         return node, edge
 
     def viterbi(self, features: list[list[int]]) -> list[int]:
-        emit = [self.weights[f].sum(0) for f in features]
-        score = emit[0] + self.start
-        back = []
-        for e in emit[1:]:
-            step = score[:, None] + self.moves
-            back.append(step.argmax(0))
-            score = step.max(0) + e
-        path = [int(score.argmax())]
-        for b in reversed(back):
-            path.append(int(b[path[-1]]))
-        return path[::-1]
+        return best_path((self.weights[f].sum(0).tolist() for f in features), self.start.tolist(), self.moves.T.tolist())
 
     def spans(self, text: str) -> list[tuple[int, int]]:
-        found: list[tuple[int, int]] = []
-        for chain in chains(text):
-            for (a, b), label in zip(chain.spans, self.viterbi(chain.features), strict=True):
-                if label == 1:
-                    found.append((a, b))
-                elif label == 2 and found:
-                    found[-1] = (found[-1][0], b)
-        return found
+        return Scorer(self).spans(text)
 
 
 def secret_values(text: str) -> list[tuple[int, int]]:
@@ -242,24 +371,32 @@ def variants(text: str, seed: int) -> list[tuple[str, list[tuple[int, int]]]]:
     for a, b, kind in base_spans(text):
         if kind != "assign":
             continue
-        for letters, least, most in ALPHABETS:
+        for letters, least, most in ALPHABETS * DRAWS:
+            # behind a mere space letters are prose
+            signs = SIGNS if "0" in letters else SIGNS[:-1]
             value = "".join(rng.choice(list(letters), int(rng.integers(least, most))))
             value = str(rng.choice(PREFIXES)) + value
-            head = text[max(0, a - _AROUND) : a] + str(rng.choice(NAMES)) + str(rng.choice(SIGNS))
-            out.append((head + value + " " + text[b : b + _AROUND].lstrip("\"'"), [(len(head), len(head) + len(value))]))
+            head = text[max(0, a - _AROUND) : a] + str(rng.choice(NAMES)) + str(rng.choice(signs))
+            tail = " " + text[b : b + _AROUND].lstrip("\"'")
+            lead = str(rng.choice(LEADS))
+            lead *= 1 + int(rng.integers(4, MOST_LEAD)) // len(lead)
+            for start in (head, head + lead):
+                out.append((start + value + tail, [(len(start), len(start) + len(value))]))
     return out
 
 
-def labelled(text: str, inside: list[tuple[int, int]] | None = None) -> list[tuple[Chain, list[int]]]:
+def labelled(text: str, inside: list[tuple[int, int]] | None = None, whole: list[str] | None = None) -> list[tuple[Chain, list[int]]]:
     """Chains with the labels that the secrets, by default those of the base spans, give them."""
     inside = secret_values(text) if inside is None else inside
     out = []
-    for chain in chains(text):
+    for chain in chains(text, PROSE_SHARE, whole):
         labels = []
         for a, b in chain.spans:
             hit = any(lo <= a and b <= hi for lo, hi in inside)
             labels.append(0 if not hit else 2 if labels and labels[-1] else 1)
-        out.append((chain, labels))
+        for k in range(0, len(labels), PIECE):
+            if labels[k] != 2:  # a piece can't begin inside
+                out.append((Chain(chain.spans[k : k + PIECE], chain.inner, chain.features[k : k + PIECE]), labels[k : k + PIECE]))
     return out
 
 
@@ -272,7 +409,8 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bound
     rows = docs.where(pick).select(text_col).limit(2 * bound).collect()
     texts = sorted(r[0] for r in rows if r[0])
     data = [x for t in texts for x in labelled(t)]
-    data += [x for k, t in enumerate(texts) for v, where in variants(t, k) for x in labelled(v, where)]
+    # a variant stands for its document, so it has the file features of that
+    data += [x for k, t in enumerate(texts) for v, where in variants(t, k) for x in labelled(v, where, _file_features(t))]
     return Crf().fit(data)
 
 
@@ -292,14 +430,14 @@ def scan(docs: DataFrame, model: Crf, text_col: str = "text", redact: bool = Fal
         fields.append(field("redacted", T.StringType()))
 
     def make():
-        crf = shared.value
+        scorer = Scorer(shared.value)
 
         def kernel(texts):
             base_out, all_out, clean = [], [], []
             for raw in texts:
                 text = raw.decode("utf-8", "replace") if raw else ""
                 base = base_spans(text)
-                more = [(a, b, "crf") for a, b in crf.spans(text) if all(b <= lo or hi <= a for lo, hi, _ in base)]
+                more = [(a, b, "crf") for a, b in scorer.spans(text) if all(b <= lo or hi <= a for lo, hi, _ in base)]
                 both = sorted(base + more, key=lambda s: (s[0], KINDS.index(s[2])))
                 base_out.append([{"kind": k, "start": a, "end": b} for a, b, k in base])
                 all_out.append([{"kind": k, "start": a, "end": b} for a, b, k in both])
