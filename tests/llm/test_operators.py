@@ -371,17 +371,21 @@ def near_copies(rng, count=120):
     return out
 
 
-@pytest.mark.parametrize(("n", "num"), [(3, 9), (5, 8)])
-def test_link_classes_equal_brute_force(spark, n, num):
-    texts = near_copies(random.Random(num)) + ODD
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.link_classes(docs_of(spark, texts), shingle=n, num=num).collect()}
+@pytest.mark.parametrize(("n", "num", "limits"), [(3, 9, {}), (5, 8, {"crowd": 3, "hubs": 2})])
+def test_link_classes_equal_brute_force(spark, n, num, limits):
+    texts = near_copies(random.Random(num)) + ODD + ["long " * 200_000, "a b c d e " * 100_000]
+    if limits:  # copies that are just below and just above the similarity, so that buckets hold many components
+        words = [f"v{k}" for k in range(120)]
+        texts += [" ".join(w if (k * 7 + at) % 19 else f"x{k}" for at, w in enumerate(words)) for k in range(30)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.link_classes(docs_of(spark, texts), shingle=n, num=num, **limits).collect()}
     assert [got[k] for k in range(len(texts))] == brute_classes(texts, n, num, 10)
 
 
 @pytest.mark.parametrize("num", [9, 8])
-def test_linked_sets_share_a_signature(num):
+@pytest.mark.parametrize("form", [(jaccard.COARSE, False), (jaccard.FINE, True)])
+def test_linked_sets_share_a_signature(num, form):
     rng = np.random.default_rng(num)
-    enum, linked = jaccard.PartEnum(num, 10), 0
+    enum, linked = jaccard.PartEnum(num, 10, *form), 0
     for _ in range(1500):
         a = np.unique(rng.integers(0, 2**64 - 1, int(rng.integers(2, 500)), dtype=np.uint64))
         d = int(rng.integers(0, len(a) // 5 + 2))

@@ -1,30 +1,35 @@
 """Exact Jaccard join of shingle sets by PartEnum signatures.
 
 Two sets of sizes a <= b whose similarity reaches num / den differ in at most
-k = 2b (den - num) / (den + num) features.  Sizes are cut into bands by the
-power of two that k + 1 does not pass, and each set signs for its own band and,
-where a larger partner can lie in the next one, for that too.  In a band the
-feature domain (64-bit hashes) is cut into n1 ranges, twice of which are k + 1
-or more: by the pigeonhole principle linked sets differ by one feature at most
-in some range.  Each range is cut into three parts, and every subset of two
-parts makes a signature: the one without the part that differs is shared.
+k = 2b (den - num) / (den + num) features.  Sizes are cut into bands, and each
+set signs for its own band and for those in which a larger partner can lie.  In
+a band the feature domain (64-bit hashes) is cut into so many ranges that, by
+the pigeonhole principle, linked sets differ by ``spare`` features at most in
+some range.  Each range is cut into parts, and every subset of all but
+``spare`` parts makes a signature: the one without the parts that differ is
+shared.
 
 Signatures of few features are shared by chance far too often.  Linked sets
-agree but for one feature in n1 - k / 2 ranges at least.  So a set may leave
-out all signatures of less than t features if fewer of its ranges than that
-have one: some range is left in which all are strong, and the one that is
-shared there is made by the other set too, if that one's t is not larger; if
-it is, the same holds the other way round.  Each set takes the largest t it
-can.
+agree, but for ``spare`` features, in n1 - k / (spare + 1) ranges at least.  So
+a set may leave out all signatures of less than t features if fewer of its
+ranges than that have one: some range is left in which all are strong, and the
+one that is shared there is made by the other set too, if that one's t is not
+larger; if it is, the same holds the other way round.  Each set takes the
+largest t it can.
 
 Nodes are documents; equal sets are one node, that with the smallest key.
-Candidates are verified in three rounds, each only for pairs that the rounds
-before left in different components: every node with the hub (first node) of
-the buckets that it shares most often, then with its other hubs and the nodes
-before it in its buckets, then whatever pairs of one bucket remain.  So no
-group is expanded into all pairs of its members.  Candidates are held against
-sizes and parity sketches first, which rule out nearly all that are not linked;
-texts are fetched for the others only.
+Candidates are verified in rounds, each only for pairs that the rounds before
+left in different components: every node with the hub (first node) of the
+buckets that it shares most often, then with its other hubs and the nodes
+before it in its buckets.  Of buckets that still hold several components those
+of at most ``CROWD`` nodes give their remaining pairs.  The nodes of larger ones
+are signed anew with ``FINE`` parts, whose signatures hold more features, and go
+through the same rounds; buckets that are large even then give the pairs of
+``HUBS`` nodes with the others round by round, beginning with the smallest
+components, until one component is left in each.  So no round makes more than
+``CROWD`` pairs for a row of a bucket.  Candidates are held against sizes and
+parity sketches first, which rule out nearly all that are not linked; texts are
+fetched for the others only.
 
 Defined cases: null, empty and word-less texts have an empty set and are
 linked with nothing; a text of fewer words than a shingle is one shingle;
@@ -35,7 +40,8 @@ never a component_id.
 
 from __future__ import annotations
 
-from bisect import bisect_right
+from itertools import combinations
+from math import floor, log
 
 import numpy as np
 import pyarrow as pa
@@ -48,41 +54,73 @@ from .common import LOWER_ASCII, WordHashes, annotate, cut, field, mix64, window
 from .graph import components
 
 
+#: Nodes of a bucket up to which all pairs of different components are candidates.
+CROWD = 32
+#: Nodes of a larger bucket that one round holds against its others.
+HUBS = 16
+#: Spare parts and parts of a range, for all sets and for those of crowded buckets.
+COARSE, FINE = (1, 3), (3, 6)
+
+
 class PartEnum:
-    """Signatures for a Jaccard threshold given as a fraction ``num / den``."""
+    """Signatures for a Jaccard threshold given as a fraction ``num / den``.
+
+    Bands are powers of two of the difference, or with ``narrow`` steps of
+    den / num of the size: a set then signs for two or three of them, but has no
+    more ranges than its size needs.
+    """
 
-    def __init__(self, num: int = 9, den: int = 10):
-        self.num, self.den = num, den
+    def __init__(self, num: int = 9, den: int = 10, parts: tuple[int, int] = COARSE, narrow: bool = False):
+        self.num, self.den, self.narrow = num, den, narrow
+        self.spare, self.parts = parts
+        self.subsets = list(combinations(range(self.parts), self.parts - self.spare))
 
     def difference(self, size: int) -> int:
         """Most features in which a set differs from a linked one that is not larger."""
         return 2 * size * (self.den - self.num) // (self.den + self.num)
 
+    def band(self, size: int) -> int:
+        """The band of pairs whose larger set has this size."""
+        if self.narrow:
+            return floor(log(size) / log(self.den / self.num) + 1e-9)
+        return self.difference(size).bit_length()
+
     def bands(self, size: int) -> range:
         """The bands in which a set of this size can meet a linked one."""
-        return range(self.difference(size).bit_length(), self.difference(size * self.den // self.num).bit_length() + 1)
+        return range(self.band(size), self.band(max(size, size * self.den // self.num)) + 1)
+
+    def most(self, band: int) -> int:
+        """Most features in which linked sets of a band differ."""
+        if self.narrow:
+            return self.difference(int((self.den / self.num) ** (band + 1)) + 1)
+        return (1 << band) - 1
 
     def sign(self, features: np.ndarray) -> np.ndarray:
         """40-bit signatures of sorted, distinct 64-bit features."""
-        mixed = np.zeros(len(features) + 1, np.uint64)
+        size = len(features)
+        mixed = np.zeros(size + 1, np.uint64)
         np.cumsum(mix64(features), out=mixed[1:])
+        own = self.difference(max(size, size * self.den // self.num))
         out = []
-        for band in self.bands(len(features)):
-            if not band:
+        for band in self.bands(size):
+            if not own or not self.most(band):
                 continue  # only equal sets can be linked, and those are one node
-            most = min((1 << band) - 1, self.difference(len(features) * self.den // self.num))
-            ranges = 1 << (band - 1)  # 2 * ranges > k for every pair that meets in this band
-            parts = (features >> np.uint64(32)) * np.uint64(3 * ranges) >> np.uint64(32)
-            bounds = np.searchsorted(parts, np.arange(3 * ranges + 1, dtype=np.uint64))
-            sums = (mixed[bounds[1:]] - mixed[bounds[:-1]]).reshape(ranges, 3)
-            sizes = np.diff(bounds).reshape(ranges, 3)
+            ranges = self.most(band) // (self.spare + 1) + 1
+            spoilt = min(self.most(band), own) // (self.spare + 1)
+            parts = (features >> np.uint64(32)) * np.uint64(self.parts * ranges) >> np.uint64(32)
+            bounds = np.searchsorted(parts, np.arange(self.parts * ranges + 1, dtype=np.uint64))
+            sums = (mixed[bounds[1:]] - mixed[bounds[:-1]]).reshape(ranges, self.parts)
+            sizes = np.diff(bounds).reshape(ranges, self.parts)
             # as many ranges as there may be without a strong signature lie below this one
-            weakest = np.sort(sizes.sum(1) - sizes.max(1))
-            strong = weakest[ranges - most // 2 - 1]
+            weakest = np.sort(np.sort(sizes, axis=1)[:, : self.parts - self.spare].sum(1))
+            strong = weakest[ranges - spoilt - 1]
             place = mix64(np.arange(ranges, dtype=np.uint64) * np.uint64(64) + np.uint64(band))
-            for left_out, (a, b) in enumerate(((1, 2), (0, 2), (0, 1))):
-                held = sizes[:, a] + sizes[:, b] >= strong
-                out.append(mix64(mix64(sums[held, a] + place[held] + np.uint64(left_out)) + sums[held, b]))
+            for number, subset in enumerate(self.subsets):
+                held = sizes[:, subset].sum(1) >= strong
+                sign = place[held] + np.uint64(number)
+                for part in subset:
+                    sign = mix64(sign + sums[held, part])
+                out.append(sign)
         return np.concatenate(out) >> np.uint64(24) if out else np.empty(0, np.uint64)
 
 
@@ -222,7 +260,7 @@ def _linked(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, shingle: int, n
     return cut(likely.where(same * den >= (a + b - same) * num).select("u", "v"), "linked")
 
 
-def link_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, num: int = 9, den: int = 10) -> DataFrame:
+def link_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, num: int = 9, den: int = 10, crowd: int = CROWD, hubs: int = HUBS) -> DataFrame:
     """``doc_id``, ``n_shingles`` and ``component_id`` of every row of ``docs``.
 
     ``component_id`` is the smallest id that links reach, the row's own included.
@@ -237,35 +275,61 @@ def link_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     # rows that share a key have several sets; the largest stands for them
     nodes = sets.groupBy("key").agg(F.max_by(F.struct(F.col("n_shingles").alias("size"), "wide", *bits), F.struct("n_shingles", "set_hi", "set_lo")).alias("x"))
     nodes = cut(nodes.select(F.col("key").alias("node"), "x.*"), "sketches")
-    enum = PartEnum(num, den)
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        return _linked(pairs, nodes, rows, shingle, num, den)
+    links = _Links(nodes, rows, shingle, num, den)
+    signed = rows.select("key", "text")
+    for enum in (PartEnum(num, den), PartEnum(num, den, FINE, narrow=True)):
+        met = _met(_signatures(signed, shingle, enum).select("key", F.explode("signs").alias("sign")))
+        buckets = cut(_as_nodes(met, base), "buckets")
+        _with_hubs(links, buckets)
+        mixed = _mixed(buckets, links.parts)
+        links.verify(_pairs(mixed.where(F.col("size") <= crowd), links))
+        crowded = mixed.where(F.col("size") > crowd)
+        again = cut(crowded.select("node").distinct(), "crowded")
+        if again.isEmpty():
+            break
+        signed = rows.select("key", "text").join(again.withColumnRenamed("node", "key"), "key")
+    else:
+        _one_by_one(links, buckets, crowd, hubs)
+
+    labelled = base.join(links.parts.withColumnRenamed("component", "part"), "node", "left").withColumn("part", F.coalesce("part", "node"))
+    labelled = cut(labelled.select("doc_id", "n_shingles", "part"), "labelled")
+    least = cut(labelled.where("n_shingles > 0").groupBy("part").agg(F.min("doc_id").alias("least")), "least")
+    return labelled.join(least, "part", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+class _Links:
+    """Verified links and the components that they make."""
+
+    def __init__(self, nodes: DataFrame, rows: DataFrame, shingle: int, num: int, den: int):
+        self.nodes, self.rows, self.shingle, self.num, self.den = nodes, rows, shingle, num, den
+        self.parts = nodes.select("node", F.col("node").alias("component")).limit(0)
+
+    def verify(self, pairs: DataFrame) -> None:
+        """Add those of the pairs (u, v) that are links, and join their components."""
+        found = _linked(pairs, self.nodes, self.rows, self.shingle, self.num, self.den)
+        if not found.isEmpty():
+            held = self.parts.where("node <> component").select(F.col("node").alias("u"), F.col("component").alias("v"))
+            self.parts = cut(components(held.unionByName(found)), "parts")
+
 
-    signed = _signatures(rows.select("key", "text"), shingle, enum).select("key", F.explode("signs").alias("sign"))
+def _met(signed: DataFrame) -> DataFrame:
+    """Bucket rows (sign, key, hub, prev) but the first one's, which all of a bucket's rows name as hub."""
     order = Window.partitionBy("sign").orderBy("key")
     first = F.first("key").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    met = cut(signed.withColumn("hub", first).withColumn("prev", F.lag("key").over(order)).where("key <> prev"), "met")
-    buckets = cut(_as_nodes(met, base), "buckets")
+    return cut(signed.withColumn("hub", first).withColumn("prev", F.lag("key").over(order)).where("key <> prev"), "met")
 
+
+def _with_hubs(links: _Links, buckets: DataFrame) -> None:
+    """Verify every node with the hub that it meets most often, then with its other hubs and the nodes before it."""
     # how often a node meets a hub says how alike they are
     hubs = buckets.groupBy("node", "hub").agg(F.count(F.lit(1)).alias("n"))
-    best = hubs.groupBy("node").agg(F.max_by("hub", F.struct("n", "hub")).alias("v")).select(F.col("node").alias("u"), "v")
-    links = verified(best)
-    parts = components(links)
+    links.verify(hubs.groupBy("node").agg(F.max_by("hub", F.struct("n", "hub")).alias("v")).select(F.col("node").alias("u"), "v"))
     apart = []
     for other in ("hub", "prev"):
-        known = _with_parts(buckets.select("node", other).where(f"node <> {other}").distinct(), parts, other)
+        known = _with_parts(buckets.select("node", other).where(f"node <> {other}").distinct(), links.parts, other)
         apart.append(known.where(f"node_part <> {other}_part").select(F.greatest("node", other).alias("u"), F.least("node", other).alias("v")))
-    links = links.unionByName(verified(apart[0].unionByName(apart[1]).distinct()))
-    parts = components(links)
-    links = links.unionByName(verified(_between(buckets, parts, nodes, num, den)))
-    parts = components(links)
-
-    labelled = base.join(parts.withColumnRenamed("component", "part"), "node", "left").withColumn("part", F.coalesce("part", "node"))
-    labelled = cut(labelled.select("doc_id", "n_shingles", "part"), "labelled")
-    least = cut(labelled.where("n_shingles > 0").groupBy("part").agg(F.min("doc_id").alias("least")), "least")
-    return labelled.join(least, "part", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
+    links.verify(apart[0].unionByName(apart[1]).distinct())
 
 
 def _as_nodes(met: DataFrame, base: DataFrame) -> DataFrame:
@@ -284,13 +348,41 @@ def _with_parts(buckets: DataFrame, parts: DataFrame, other: str) -> DataFrame:
     return buckets
 
 
-def _between(buckets: DataFrame, parts: DataFrame, features: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs of one bucket in different components that size and sketch do not rule out."""
-    known = cut(_with_parts(buckets, parts, "hub").select("sign", "node", "node_part", "hub_part"), "known")
-    apart = known.where("node_part <> hub_part").select("sign", F.col("node").alias("x"), F.col("node_part").alias("x_part"))
-    others = known.join(apart.select("sign").distinct(), "sign", "left_semi").select("sign", F.col("node").alias("y"), F.col("node_part").alias("y_part"))
-    apart = apart.join(_sketches(features, "x", "a"), "x")
-    others = others.join(_sketches(features, "y", "b"), "y")
-    may = (F.col("x_part") != F.col("y_part")) & _may_link("a", "b", num, den)
-    pairs = apart.withColumnRenamed("sign", "x_sign").join(others, (F.col("x_sign") == F.col("sign")) & may)
+def _mixed(buckets: DataFrame, parts: DataFrame) -> DataFrame:
+    """(sign, node, part, size) of the buckets that hold several components; size counts a bucket's nodes."""
+    members = buckets.select("sign", "node").unionByName(buckets.select("sign", F.col("hub").alias("node"))).distinct()
+    return _of_several(cut(_with_part(members, parts), "members"))
+
+
+def _with_part(members: DataFrame, parts: DataFrame) -> DataFrame:
+    return members.join(parts.withColumnRenamed("component", "part"), "node", "left").withColumn("part", F.coalesce("part", "node")).select("sign", "node", "part")
+
+
+def _of_several(members: DataFrame) -> DataFrame:
+    # written before it is joined, so that a hot bucket can be split
+    several = members.groupBy("sign").agg(F.count(F.lit(1)).alias("size"), F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi")
+    return cut(members.join(cut(several.select("sign", "size"), "several"), "sign"), "mixed")
+
+
+def _pairs(mixed: DataFrame, links: _Links, first: DataFrame | None = None) -> DataFrame:
+    """Pairs of ``first`` (by default all) with the nodes of their bucket that are in other components, if sizes and sketches allow."""
+    x = (mixed if first is None else first).select(F.col("sign").alias("x_sign"), F.col("node").alias("x"), F.col("part").alias("x_part"))
+    y = mixed.select("sign", F.col("node").alias("y"), F.col("part").alias("y_part"))
+    x, y = x.join(_sketches(links.nodes, "x", "a"), "x"), y.join(_sketches(links.nodes, "y", "b"), "y")
+    may = (F.col("x_part") != F.col("y_part")) & _may_link("a", "b", links.num, links.den)
+    if first is None:
+        may = may & (F.col("x") < F.col("y"))
+    pairs = x.join(y, (F.col("x_sign") == F.col("sign")) & may)
     return pairs.select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).distinct()
+
+
+def _one_by_one(links: _Links, buckets: DataFrame, crowd: int, hubs: int) -> None:
+    """Hold ``hubs`` nodes of each crowded bucket against its others and take them out, until no bucket has two components."""
+    mixed = _mixed(buckets, links.parts).where(F.col("size") > crowd)
+    while not mixed.isEmpty():
+        shares = cut(mixed.groupBy("sign", "part").agg(F.count(F.lit(1)).alias("share")), "shares")
+        order = Window.partitionBy("sign").orderBy("share", "part", "node")
+        ranked = cut(mixed.join(shares, ["sign", "part"]).withColumn("turn", F.row_number().over(order)), "ranked")
+        links.verify(_pairs(mixed, links, ranked.where(F.col("turn") <= hubs)))
+        rest = ranked.where(F.col("turn") > hubs).select("sign", "node")
+        mixed = _of_several(cut(_with_part(rest, links.parts), "members"))
