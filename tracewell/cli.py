@@ -207,7 +207,7 @@ class Run:
         if offset is None:
             offset = int(datetime.now().astimezone().utcoffset().total_seconds() // 60)
         path = self.target()
-        print(f"[OK] {sink.write_csv(timeline.timeline(files, self.now, offset), path)} events -> {path}")
+        print(f"[OK] {sink.write_csv(timeline.ordered(timeline.timeline(files, self.now, offset)), path)} events -> {path}")
         if a.out_inventory:
             self.save_inventory(files, Path(a.out_inventory))
         self.report(notes, path)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from .. import schemas
 from ..functions import values
@@ -14,7 +15,7 @@ KEPT = ("path", "rel_path", "name", "size_bytes", "is_symlink")
 
 
 def timeline(files: DataFrame, now: float, offset_minutes: int = 0, events=EVENTS, kept=KEPT) -> DataFrame:
-    """One row for each usable time; ``now`` (epoch seconds) is fixed by the caller.
+    """One row for each usable time, in no order; ``now`` (epoch seconds) is fixed by the caller.
 
     Times that are missing or not finite make no event.  Columns of ``kept``
     that ``files`` lacks are null.
@@ -24,6 +25,9 @@ def timeline(files: DataFrame, now: float, offset_minutes: int = 0, events=EVENT
     have = [(c, label) for c, label in events if c in files.columns]
 
     def number(c: str) -> Column:
+        if isinstance(files.schema[c].dataType, NumericType):
+            value = F.col(c).cast("double")
+            return F.when(values.finite(value), value)
         return values.to_number(F.col(c).cast("string"))
 
     made = F.array(*(F.struct(number(c).alias("ts_epoch"), F.lit(label).alias("event")) for c, label in have))
@@ -31,4 +35,9 @@ def timeline(files: DataFrame, now: float, offset_minutes: int = 0, events=EVENT
     rows = files.select(*base, F.explode(F.filter(made, lambda e: e["ts_epoch"].isNotNull())).alias("e")).select("e.*", *kept)
     rows = rows.withColumns({"ts_iso": values.iso_time(F.col("ts_epoch"), offset_minutes), "ts_suspicious": values.suspicious_time(F.col("ts_epoch"), now)})
     order = [c for c in schemas.TIMELINE.names if c in rows.columns] + [k for k in kept if k not in schemas.TIMELINE.names]
-    return rows.select(*order).orderBy("ts_epoch", "path", "event")
+    return rows.select(*order)
+
+
+def ordered(events: DataFrame) -> DataFrame:
+    """Events in order of time, for results that are written as one file."""
+    return events.orderBy("ts_epoch", "path", "event")

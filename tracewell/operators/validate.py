@@ -7,12 +7,13 @@ import unicodedata
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import schemas
 from ..functions import values
+from ..sink import settled
 from ..sources.files import restat
 from .content import CHUNK, digests
 
@@ -117,13 +118,12 @@ def composed(key: Column) -> Column:
     return F.when(key.rlike(r"^[\x00-\x7f]*$"), key).otherwise(nfc(key))
 
 
-def _keyed(rows: DataFrame, key: str, columns: Sequence[str], mark: str, order: str | None) -> DataFrame:
-    """One row for each key: the last one by ``order`` (any one without an order)."""
+def _keyed(rows: DataFrame, key: str, columns: Sequence[str], algorithms: Sequence[str], mark: str, order: str | None) -> DataFrame:
+    """One row for each key: the last one by ``order`` (any one without an order), and which digests any of its rows has."""
     text = {c: F.coalesce(F.col(c).cast("string"), F.lit("")) if c in rows.columns else F.lit("") for c in columns}
-    flat = rows.select(F.col(key).cast("string").alias("_raw"), *(v.alias(c) for c, v in text.items()), (F.col(order) if order else F.lit(0)).alias("_order"))
-    flat = flat.where(F.coalesce("_raw", F.lit("")) != "").withColumn("_key", composed(F.col("_raw")))
-    last = flat.groupBy("_key").agg(F.max_by(F.struct(*columns), F.col("_order")).alias(mark))
-    return last
+    flat = rows.select(F.coalesce(composed(F.col(key).cast("string")), F.lit("")).alias("_key"), *(v.alias(c) for c, v in text.items()), (F.col(order) if order else F.lit(0)).alias("_order"))
+    seen = [F.max(F.col(a) != "").alias(f"_{mark}_{a}") for a in algorithms]
+    return flat.groupBy("_key").agg(F.max_by(F.struct(*columns), F.col("_order")).alias(mark), *seen)
 
 
 def compare(
@@ -139,40 +139,39 @@ def compare(
     """Issues between an earlier inventory and this one.
 
     Keys are relative paths if the baseline has that column.  Both sides meet in
-    one full outer join; missing and new keys whose digest is unique on either
-    side and equal are one file that moved.
+    one full outer join, which is written once: which digests are shared, what
+    moved and all other rules are read from that table.  Missing and new keys
+    whose digest is unique on either side and equal are one file that moved.
     """
     key = key or ("rel_path" if "rel_path" in baseline.columns else "path")
     usable = [a for a in sorted(algorithms, key=lambda a: a != "sha256") if a in current.columns and a in baseline.columns]
-    shared = []
-    if usable:
-        seen = [df.agg(*(F.max(F.when(F.coalesce(F.col(a).cast("string"), F.lit("")) != "", 1)).alias(a) for a in usable)).first() for df in (baseline, current)]
-        shared = [a for a in usable if all(s[a] for s in seen)]
-    columns = list(dict.fromkeys(["path", "size_bytes", "mtime_epoch", "is_symlink", "link_target", *shared]))
-    both = _keyed(baseline, key, columns, "b", baseline_order).join(_keyed(current, key, columns, "c", current_order), "_key", "full_outer")
-    shown = F.coalesce(F.nullif(F.coalesce("c.path", "b.path"), F.lit("")), "_key")
-    both = both.withColumns({"_shown": shown, "_moved": F.lit(False), "_to": F.lit(None).cast("string")})
-    parts = []
+    columns = list(dict.fromkeys(["path", "size_bytes", "mtime_epoch", "is_symlink", "link_target", *usable]))
+    sides = _keyed(baseline, key, columns, usable, "b", baseline_order), _keyed(current, key, columns, usable, "c", current_order)
+    both = settled(sides[0].join(sides[1], "_key", "full_outer"), "baseline")
+    seen = both.agg(F.count(F.lit(1)), *(F.max(f"_{mark}_{a}").alias(f"{mark}_{a}") for mark in "bc" for a in usable)).first()
+    shared = [a for a in usable if seen[f"b_{a}"] and seen[f"c_{a}"]]
+    both = both.where("_key <> ''").withColumn("_shown", F.coalesce(F.nullif(F.coalesce("c.path", "b.path"), F.lit("")), "_key"))
     if shared:
-        digest = F.lower(F.coalesce(F.col(f"b.{shared[0]}"), F.col(f"c.{shared[0]}")))
-        single = both.where(F.col("b").isNull() | F.col("c").isNull()).select("_key", "_shown", digest.alias("_digest"), F.col("c").isNull().alias("_gone"), F.col("b.size_bytes").alias("_size"))
-        per = Window.partitionBy("_digest")
-        single = single.where("_digest <> ''").withColumns({"_olds": F.count_if("_gone").over(per), "_news": F.count_if(~F.col("_gone")).over(per)}).where("_olds = 1 AND _news = 1")
-        size = values.to_whole(F.col("_size"))
-        old = single.where(F.col("_gone") & size.isNotNull() & (size != 0)).select("_digest", F.col("_key").alias("_from"))
-        new = single.where(~F.col("_gone")).select("_digest", F.col("_key").alias("_into"), F.col("_shown").alias("_at"))
-        moved = old.join(new, "_digest").select("_from", "_into", "_at")
-        parts.append(moved.select(issue("WARN", "MOVED", F.col("_at"), detail=F.concat("_from", F.lit(" -> "), "_into")).alias("issue")).select("issue.*"))
-        gone = moved.select(F.explode(F.array("_from", "_into")).alias("_key"))
-        both = both.join(gone, "_key", "left_anti")
+        alone = F.col("b").isNull() | F.col("c").isNull()
+        digest = F.when(alone, F.nullif(F.lower(F.coalesce(F.col(f"b.{shared[0]}"), F.col(f"c.{shared[0]}"))), F.lit("")))
+        both = both.withColumn("_digest", digest)
+        gone, size = F.col("c").isNull(), values.to_whole(F.col("b.size_bytes"))
+        # unique on either side; the counts are partial sums, so a digest that very many files share costs no task
+        found = both.where("_digest IS NOT NULL").groupBy("_digest")
+        moves = found.agg(F.count_if(gone).alias("olds"), F.count_if(~gone).alias("news"), F.max(F.when(gone, size)).alias("size"), F.max(F.when(gone, F.col("_key"))).alias("_from"), F.max(F.when(~gone, F.col("_key"))).alias("_into"), F.max(F.when(~gone, F.col("_shown"))).alias("_at"))
+        moves = moves.where("olds = 1 AND news = 1 AND size <> 0").select("_digest", "_from", "_into", "_at")
+        both = both.join(moves, "_digest", "left")
+        left, first = F.col("_from").isNull(), []
+        rules = [(left & fails, found) for fails, found in _pair_rules(shared, tolerance)]
+        rules.append((~left & gone, issue("WARN", "MOVED", F.col("_at"), detail=F.concat("_from", F.lit(" -> "), "_into"))))
     else:
         spark = current.sparkSession
         detail = "no digest has values on both sides, so contents were not compared"
-        parts.append(spark.createDataFrame([("WARN", "BASELINE_NO_HASH", "", "", "", detail)], schemas.ISSUES))
-    parts.append(exploded(both, _pair_rules(shared, tolerance)))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+        first = [spark.createDataFrame([("WARN", "BASELINE_NO_HASH", "", "", "", detail)], schemas.ISSUES)]
+        rules = _pair_rules(shared, tolerance)
+    out = exploded(both, rules)
+    for more in first:
+        out = more.unionByName(out)
     return out
 
 

@@ -20,6 +20,8 @@ NOW_EVENTS, NOW_ORDERS = 1_705_000_000.0, 900_000_000.0
 KEYWORD, PATTERN, TOKEN = "tion", "tion|ing|é", "token"
 GLOBS = ["*.example.com/*", "*page=?&*", "https://m.*", "[!h]*"]
 MAX_FILE = 4000
+#: Numbers of rows for which the SQL of the sample holds the drawn ordinals.
+SAMPLED = (0, 200, 1000, 10_000, 51_282, 256_410)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -268,13 +270,13 @@ def sidecar_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def formula_escape(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cells as they are written and read back: texts behind each mark, and numbers."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.left("text", F.lit(12)).alias("t"), F.col("n_chars").cast("string").alias("n"))
+    """Digests of cells as they are written and read back: whole texts behind each mark, and numbers."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("t"), F.col("n_chars").cast("string").alias("n"))
     marks = ["", "=", "+", "-", "@", "'", "\t", " ", "''", "=-"]
     cells = F.array(*(F.concat(F.lit(m), F.col(c)) for m in marks for c in ("t", "n")))
     rows = docs.select("doc_id", F.posexplode(cells).alias("cell", "value"))
     escaped = values.escape_formula(F.col("value"))
-    return rows.select("doc_id", "cell", escaped.alias("escaped"), values.unescape_formula(escaped).alias("back"))
+    return rows.select("doc_id", "cell", F.sha2(escaped, 256).alias("escaped"), F.sha2(values.unescape_formula(escaped), 256).alias("back"))
 
 
 def permissions_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -419,7 +421,7 @@ UNION ALL SELECT 'WARN', 'SIZE_CHANGED', k, 'size_bytes', CAST(bs AS VARCHAR), b
     "issue_rules": _ISSUES_SQL,
     "issue_summary": f"SELECT coalesce(severity, code) AS name, count(*) AS n FROM ({_ISSUES_SQL}) GROUP BY GROUPING SETS ((severity), (code))",
     "rehash_sample": "SELECT doc_id, sha256(text) AS sha256 FROM documents, (SELECT count(*) AS n FROM documents) WHERE "
-    + " OR ".join(f"(n = {n} AND doc_id IN ({', '.join(map(str, validate.sample_ordinals(n)))}))" for n in (200, 1000, 10_000)),
+    + " OR ".join(f"(n = {n} AND doc_id IN ({', '.join(map(str, [-1, *validate.sample_ordinals(n)]))}))" for n in SAMPLED),
     "order_timeline": f"""
 WITH f AS (SELECT l_orderkey || '/' || l_linenumber AS path, o_orderpriority AS rel_path, l_returnflag AS name, CAST(l_quantity AS BIGINT) AS size_bytes,
   CAST(epoch(l_shipdate) AS DOUBLE) AS m, CAST(epoch(o_orderdate) AS DOUBLE) AS b, o_orderstatus AS s FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
@@ -486,6 +488,6 @@ SELECT page_id, host || '.db' AS main FROM p WHERE length(host) % 4 <> 3""",
 
 _CELLS = ", ".join(f"{_text(m)} || {c}" if m != "\t" else f"chr(9) || {c}" for m in ("", "=", "+", "-", "@", "'", "\t", " ", "''", "=-") for c in ("t", "n"))
 ORACLE_SQL["formula_escape"] = f"""
-WITH d AS (SELECT doc_id, left(text, 12) AS t, CAST(n_chars AS VARCHAR) AS n FROM documents),
+WITH d AS (SELECT doc_id, text AS t, CAST(n_chars AS VARCHAR) AS n FROM documents),
 c AS (SELECT doc_id, CAST(i - 1 AS INTEGER) AS cell, l[i] AS v FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, [{_CELLS}] AS l FROM d)))
-SELECT doc_id, cell, CASE WHEN left(v, 1) = '''' OR (left(v, 1) IN ('=', '+', '-', '@', chr(9), chr(13)) AND try_cast(trim(v, chr(9) || ' ') AS DOUBLE) IS NULL) THEN '''' || v ELSE v END AS escaped, v AS back FROM c"""
+SELECT doc_id, cell, sha256(CASE WHEN left(v, 1) = '''' OR (left(v, 1) IN ('=', '+', '-', '@', chr(9), chr(13)) AND try_cast(trim(v, chr(9) || ' ') AS DOUBLE) IS NULL) THEN '''' || v ELSE v END) AS escaped, sha256(v) AS back FROM c"""

@@ -7,6 +7,7 @@ import json
 import os
 import re
 import tempfile
+import uuid
 from collections.abc import Callable, Iterable
 from datetime import datetime
 from pathlib import Path
@@ -79,6 +80,19 @@ def unescape(value: str) -> str:
     return value[1:] if value.startswith(values.FORMULA_MARK) else value
 
 
+def settled(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the folder that spark.checkpoint.dir names (below the warehouse if unset) and read back.
+
+    For tables that several parts of a plan read: they are computed once, and
+    lost executors don't lose them.
+    """
+    spark = df.sparkSession
+    root = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_settled"
+    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def write_csv(rows: DataFrame | Iterable[tuple], path: str | Path, columns: list[str] | None = None) -> int:
     """One CSV file with a byte order mark and always a header; rows stream through the driver."""
     if isinstance(rows, DataFrame):
