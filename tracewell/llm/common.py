@@ -123,6 +123,13 @@ def window_hashes(hashes: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+def unused(columns: Sequence[str], prefix: str) -> str:
+    """``prefix``, with as many underscores before it as it takes that no column begins so."""
+    while any(c.lower().startswith(prefix.lower()) for c in columns):
+        prefix = f"_{prefix}"
+    return prefix
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder below the shared one that the cluster names in spark.checkpoint.dir."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
@@ -132,10 +139,19 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lost executors don't lose it."""
+def cut(df: DataFrame, name: str, instead_of: DataFrame | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: lost executors don't lose it.
+
+    ``instead_of`` is a table that an earlier cut returned and that nothing else
+    reads; it is deleted once the new one is there.
+    """
     path = shared_dir(df.sparkSession, name)
     df.write.parquet(path)
+    if instead_of is not None:
+        jvm, conf = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
+        for folder in {f.rsplit("/", 1)[0] for f in instead_of.inputFiles()}:
+            old = jvm.org.apache.hadoop.fs.Path(folder)
+            old.getFileSystem(conf).delete(old, True)
     # The driver's collector is what lets Spark delete the shuffle files that this table replaces.
     df.sparkSession.sparkContext._jvm.System.gc()
     return df.sparkSession.read.schema(df.schema).parquet(path)
