@@ -17,18 +17,19 @@ import re
 
 import numpy as np
 import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER_ASCII, annotate, column_bytes, field
+from .common import LOWER_ASCII, annotate, column_bytes, cut, field, unused
 
 #: Bytes of words: digits, letters and everything outside ASCII; all else becomes a space.
 WORD_BYTES = bytes(LOWER_ASCII[b] if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 
-#: Words of items that one automaton may hold; more items go through in blocks of that size.
-BLOCK_WORDS = 2_000_000
+#: Words of items that one automaton may hold (about 1 KB each); more items go through in blocks of that size.
+BLOCK_WORDS = 250_000
 
 _SPANS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
 _PAIRS = 1 << 22
@@ -202,18 +203,18 @@ def _cut_with(least: int):
 
 
 def _blocks(items: DataFrame, id_col: str, text_col: str, window: int, block_words: int):
-    """Automata of at most ``block_words`` words each; rows reach the driver one by one."""
+    """Items of at most ``block_words`` words together; rows reach the driver one by one."""
     block: list = []
     size = 0
     rows = items.select(F.col(id_col).cast("string").alias("k"), F.col(text_col).alias("t"))
     for row in rows.toLocalIterator():
         words = words_of(row.t.encode("utf-8", "surrogatepass") if row.t else None)
         if block and size + len(words) > block_words:
-            yield SuffixAutomaton(block, window)
+            yield block
             block, size = [], 0
         block.append((row.k, words))
         size += len(words)
-    yield SuffixAutomaton(block, window)
+    yield block
 
 
 def find_contamination(
@@ -232,55 +233,61 @@ def find_contamination(
 
     With ``clean`` the column ``clean_text`` holds the text without its hit
     spans of at least ``min_span_words`` words.  Items beyond ``block_words``
-    words go through block by block, each over all of ``docs``, so what is
-    broadcast never exceeds one block.  Every block is held against the whole
-    text; the spans are merged and cut once after the last one.
+    words go through block by block, each over all of ``docs``: a block's pass is
+    written before the next automaton is built, so never more than one of them
+    is held or broadcast.  Every block is held against the whole text; the spans
+    are merged and cut once after the last one, so results don't depend on the
+    blocks.
     """
-    sc = docs.sparkSession.sparkContext
     blocks = _blocks(items, item_id_col, item_text_col, window, block_words)
-    automaton, following = next(blocks), next(blocks, None)
+    block, following = next(blocks), next(blocks, None)
     several = following is not None
+    if not several:
+        out, _ = _scanned(docs, text_col, SuffixAutomaton(block, window), min_span_words if clean else None)
+        return out.drop(*drop)
+    own = unused(docs.columns, "_hit_")
+    out = kept = None
+    while block is not None:
+        before = docs if out is None else out.withColumnsRenamed({"hit_spans": f"{own}spans", "hit_items": f"{own}items"})
+        seen, shared = _scanned(before, text_col, SuffixAutomaton(block, window), None)
+        if out is not None:
+            both = {"hit_spans": F.concat(f"{own}spans", "hit_spans"), "hit_items": F.array_union(f"{own}items", "hit_items")}
+            seen = seen.withColumns(both).drop(f"{own}spans", f"{own}items")
+        out = kept = cut(seen, "block", kept)
+        shared.destroy()
+        block, following = following, next(blocks, None)
+    out = out.withColumn("hit_spans", _merge("hit_spans"))
+    if clean:
+        out = out.withColumn("clean_text", _cut_with(min_span_words)(text_col, "hit_spans"))
+    return out.drop(*drop)
+
+
+def _scanned(docs: DataFrame, text_col: str, automaton: SuffixAutomaton, least: int | None) -> tuple[DataFrame, Broadcast]:
+    """``docs`` with what one automaton finds, and with ``least`` the texts without it; and the broadcast of the automaton."""
+    shared = docs.sparkSession.sparkContext.broadcast(automaton)
     fields = [field("n_words", T.LongType()), field("hit_spans", _SPANS), field("hit_items", T.ArrayType(T.StringType()))]
-    at_once = clean and not several
-    if at_once:
+    if least is not None:
         fields.append(field("clean_text", T.StringType()))
-    out = docs
-    first = True
-    while automaton is not None:
-        shared = sc.broadcast(automaton)
-
-        def make(shared=shared):
-            scan = shared.value.scan
-
-            def kernel(texts):
-                sizes, spans, keys, cleaned = [], [], [], []
-                for text in texts:
-                    words = words_of(text)
-                    sizes.append(len(words))
-                    got, items_hit = scan(words)
-                    spans.append(got)
-                    keys.append(sorted(("" if k is None else k) for k in items_hit))
-                    if at_once:
-                        cleaned.append(_cleaned(text, got, min_span_words))
-                arrays = [pa.array(sizes, pa.int64()), _span_array(spans), pa.array(keys, pa.list_(pa.string()))]
-                return arrays + ([pa.array(cleaned, pa.string())] if at_once else [])
-
-            return kernel
-
-        if first:
-            out = annotate(out, text_col, make, fields)
-        else:
-            before = out.withColumnsRenamed({"hit_spans": "_spans", "hit_items": "_items"})
-            out = annotate(before, text_col, make, fields)
-            out = out.withColumn("hit_spans", F.concat("_spans", "hit_spans")).withColumn("hit_items", F.array_union("_items", "hit_items")).drop("_spans", "_items")
-        first = False
-        automaton = following
-        following = next(blocks, None)
-    if several:
-        out = out.withColumn("hit_spans", _merge("hit_spans"))
-        if clean:
-            out = out.withColumn("clean_text", _cut_with(min_span_words)(text_col, "hit_spans"))
-    return out.drop(*drop)
+
+    def make():
+        scan = shared.value.scan
+
+        def kernel(texts):
+            sizes, spans, keys, cleaned = [], [], [], []
+            for text in texts:
+                words = words_of(text)
+                sizes.append(len(words))
+                got, items_hit = scan(words)
+                spans.append(got)
+                keys.append(sorted(("" if k is None else k) for k in items_hit))
+                if least is not None:
+                    cleaned.append(_cleaned(text, got, least))
+            arrays = [pa.array(sizes, pa.int64()), _span_array(spans), pa.array(keys, pa.list_(pa.string()))]
+            return arrays + ([pa.array(cleaned, pa.string())] if least is not None else [])
+
+        return kernel
+
+    return annotate(docs, text_col, make, fields), shared
 
 
 def hit_words() -> Column:
