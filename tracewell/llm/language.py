@@ -2,10 +2,13 @@
 
 For each language: the likelihood of the text (byte trigrams), of the language
 that the markup declares, of the address suffix, and a prior of the host.  The
-trigram model is fit on a bounded sample; how far declarations and suffixes can
-be trusted, and the host priors, are counts over all rows by the language that
-the text alone suggests, made by grouped aggregation.  A host's prior leans on
-its parent domain's and that on the whole collection's.
+trigram model knows every language that occurs among the labels and is fit on a
+bounded sample of each; how far declarations and suffixes can be trusted, and
+the host priors, are counts over all rows by the language that the text alone
+suggests, made by grouped aggregation.  A host's prior leans on its parent
+domain's and that on the whole collection's.  So a declaration is evidence only
+as far as texts bear it out, and the registered query learns from web pages
+alone: the languages that documents declare are never labels of their texts.
 
 Defined cases: null and empty text has no likelihood and is judged by the rest;
 null declarations, addresses and hosts are no evidence; a row without any
@@ -16,6 +19,7 @@ language is rejected (``lang_id`` is ``und``).
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,10 +28,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER_ASCII, annotate, cut, field
+from .common import LOWER_ASCII, annotate, cut, field, unused
 
-#: Labelled rows of the training sample, about.
-TRAIN_ROWS = 4000
+#: Labelled rows of the training sample for each language, about, and characters of each.
+TRAIN_ROWS, TRAIN_CHARS = 1000, 20_000
 CELLS = 1 << 16
 #: Trigrams that count in full; longer texts are averaged to this many, as trigrams overlap.
 FULL = 200
@@ -36,7 +40,8 @@ LEAST = 0.5
 HOST_PRIOR, DOMAIN_PRIOR, EVIDENCE_PRIOR = 20.0, 50.0, 2.0
 
 _LETTERS = bytes(LOWER_ASCII[b] if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
-_MARKUP = re.compile(rb"""<(?:html|body)[^>]{0,300}?\blang\s*=\s*["']?([A-Za-z]{2,3})""", re.I)
+MARKUP = r"""(?i)<(?:html|body)[^>]{0,300}?\blang\s*=\s*["']?([A-Za-z]{2,3})"""
+_MARKUP = re.compile(MARKUP.encode())
 
 
 def cells(text: bytes) -> np.ndarray:
@@ -77,11 +82,31 @@ def fit(rows: list[tuple[bytes, str]]) -> TextModel:
 
 
 def train(docs: DataFrame, label: Column, id_col: str = "doc_id", text_col: str = "text", bound: int = TRAIN_ROWS) -> TextModel:
-    """Fit the trigram model on about ``bound`` rows with a label, drawn by a hash of the id."""
-    level = int(min(1.0, bound / max(1, docs.count())) * (1 << 20))
-    pick = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit(21)), F.lit(1 << 20)) < level
-    rows = docs.where(pick & label.isNotNull()).select(F.col(text_col).alias("t"), label.alias("l")).limit(2 * bound).collect()
-    return fit([((r.t or "").encode("utf-8", "replace"), r.l) for r in rows])
+    """Fit the trigram model on about ``bound`` rows of each label, drawn by a hash of the id.
+
+    Which languages there are is counted over all rows; each is then drawn from
+    at a rate of its own, so that rare ones are known too.
+    """
+    labelled = docs.select(F.xxhash64(F.col(id_col).cast("string"), F.col(text_col), F.lit(21)).alias("draw"), F.col(text_col).alias("t"), label.alias("l")).where("l IS NOT NULL")
+    counts = {r["l"]: r["n"] for r in labelled.groupBy("l").agg(F.count(F.lit(1)).alias("n")).collect()}
+    levels = F.lit(0)
+    for lang, n in counts.items():
+        levels = F.when(F.col("l") == lang, int(min(1.0, bound / n) * (1 << 20))).otherwise(levels)
+    drawn = labelled.where(F.pmod("draw", F.lit(1 << 20)) < levels).orderBy("draw").limit(2 * bound * max(1, len(counts)))
+    rows = drawn.select(F.left(F.coalesce("t", F.lit("")), F.lit(TRAIN_CHARS)).alias("t"), "l").collect()
+    return fit([(r.t.encode("utf-8", "replace"), r.l) for r in rows])
+
+
+def train_on_pages(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> TextModel:
+    """Fit on the words of web pages, by the language that their markup declares."""
+    html = F.coalesce(F.col(html_col), F.lit(""))
+    words = F.regexp_replace(F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1>|<!--.*?-->", " "), r"<[^>]*>|&[a-z#0-9]+;", " ")
+    return train(pages.select(id_col, words.alias("text"), markup_language(F.col(html_col)).alias("label")), F.col("label"), id_col)
+
+
+def markup_language(html: Column) -> Column:
+    """The language that the root of a page declares, as two letters; null without one."""
+    return F.nullif(F.lower(F.left(F.regexp_extract(html, MARKUP, 1), F.lit(2))), F.lit(""))
 
 
 def suffix_of(address: Column) -> Column:
@@ -95,10 +120,10 @@ def host_of(address: Column) -> Column:
     return F.regexp_extract(address, r"^(?:[a-z]+://)?([^/?#:]+)", 1)
 
 
-def _evidence(docs: DataFrame, model: TextModel, text_col: str) -> DataFrame:
+def _evidence(docs: DataFrame, model: TextModel, text_col: str, own: str, drop: Sequence[str]) -> DataFrame:
     """Append the text's likelihoods and the language that its markup declares."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    fields = [field("_likelihood", T.ArrayType(T.DoubleType())), field("_trigrams", T.LongType()), field("_fit", T.DoubleType()), field("_markup", T.StringType())]
+    kinds = {"likelihood": T.ArrayType(T.DoubleType()), "trigrams": T.LongType(), "fit": T.DoubleType(), "markup": T.StringType()}
 
     def make():
         def kernel(texts):
@@ -113,15 +138,16 @@ def _evidence(docs: DataFrame, model: TextModel, text_col: str) -> DataFrame:
 
         return kernel
 
-    return annotate(docs, text_col, make, fields)
+    return annotate(docs, text_col, make, [field(own + c, kind) for c, kind in kinds.items()], drop)
 
 
-def _shares(counts: DataFrame, key: str, languages: list[str], prior: Column | list[Column], weight: float) -> DataFrame:
-    """Smoothed log shares of each language within each key."""
-    total = sum((F.col(f"n{k}") for k in range(1, len(languages))), F.col("n0"))
-    prior = [prior] * len(languages) if isinstance(prior, Column) else prior
-    logs = F.array(*(F.log((F.col(f"n{k}") + weight * prior[k]) / (total + weight)) for k in range(len(languages))))
-    return counts.select(F.col(key).alias(f"_{key}"), logs.alias(f"_log_{key}"))
+def _log_shares(size: int, priors: list[Column], weight: float) -> Column:
+    """Logarithms of each language's share among the counts n0, n1, ..., leaning on ``priors`` as on ``weight`` rows."""
+    total = sum((F.col(f"n{k}") for k in range(1, size)), F.col("n0"))
+    return F.array(*(F.log((F.col(f"n{k}") + weight * priors[k]) / (total + weight)) for k in range(size)))
+
+
+RESULTS = ("lang_id", "lang_posterior", "lang_kept")
 
 
 def identify(
@@ -132,59 +158,58 @@ def identify(
     address: Column | None = None,
     host: Column | None = None,
     least: float = LEAST,
+    drop: Sequence[str] = (),
 ) -> DataFrame:
-    """Append ``lang_id``, ``lang_posterior`` and ``lang_kept`` to every row of ``docs``."""
+    """Append ``lang_id``, ``lang_posterior`` and ``lang_kept`` to every row of ``docs`` (columns of these names are replaced).
+
+    Texts are scored once: their likelihoods are written beside the columns that
+    are kept, and counts and posteriors are read from there.
+    """
+    own = unused(docs.columns, "_lid_")
     none = F.lit(None).cast("string")
-    names = docs.columns
     langs = model.languages
     size = len(langs)
     host = host if host is not None else host_of(address) if address is not None else none
-    rows = docs.withColumns({"_host": host, "_declared0": declared if declared is not None else none, "_suffix": suffix_of(address) if address is not None else none})
-
-    def fused(frame: DataFrame) -> DataFrame:
-        seen = _evidence(frame, model, text_col)
-        top = F.array_max("_likelihood")
-        guess = F.when(F.col("_trigrams") > 0, F.array_position("_likelihood", top).cast("int") - 1)
-        return seen.withColumns({"_guess": guess, "_declared": F.lower(F.substring(F.coalesce("_markup", "_declared0"), 1, 2)), "_domain": F.regexp_extract("_host", r"([^.]+(?:\.[^.]+)?)$", 1)})
+    given = {"host": host, "given": declared if declared is not None else none, "suffix": suffix_of(address) if address is not None else none}
+    rows = docs.drop(*(c for c in RESULTS if c in docs.columns)).withColumns({own + c: v for c, v in given.items()})
+    names = [c for c in docs.columns if c not in RESULTS and c not in drop]
+    c = {k: F.col(own + k) for k in ("host", "given", "suffix", "likelihood", "trigrams", "fit", "markup", "guess", "declared", "domain")}
+    seen = _evidence(rows, model, text_col, own, drop)
+    guess = F.when(c["trigrams"] > 0, F.array_position(c["likelihood"], F.array_max(c["likelihood"])).cast("int") - 1)
+    told = F.lower(F.left(F.coalesce(c["markup"], c["given"]), F.lit(2)))
+    seen = seen.withColumns({f"{own}guess": guess, f"{own}declared": told, f"{own}domain": F.regexp_extract(c["host"], r"([^.]+(?:\.[^.]+)?)$", 1)})
+    seen = cut(seen, "language-evidence")
 
     # counts over all rows, pre-aggregated in every task
-    by_text = fused(rows.select(text_col, "_host", "_declared0", "_suffix")).where(F.col("_guess").isNotNull())
-    per_language = [F.count_if(F.col("_guess") == k).cast("double").alias(f"n{k}") for k in range(size)]
-    counts = cut(by_text.groupBy("_host", "_domain", "_declared", "_suffix").agg(*per_language), "language-counts")
+    per_language = [F.count_if(c["guess"] == k).cast("double").alias(f"n{k}") for k in range(size)]
+    keys = [c[k].alias(k) for k in ("host", "domain", "declared", "suffix")]
+    counts = cut(seen.where(c["guess"].isNotNull()).groupBy(*keys).agg(*per_language), "language-counts")
     sums = [F.sum(f"n{k}").alias(f"n{k}") for k in range(size)]
 
     whole = counts.agg(*[F.coalesce(F.sum(f"n{k}"), F.lit(0.0)) for k in range(size)]).first()
     general = [(n + 1.0) / (sum(whole) + size) for n in whole]
-    domains = counts.where("_domain <> ''").groupBy(F.col("_domain").alias("domain")).agg(*sums)
-    domains = _shares(domains, "domain", langs, [F.lit(p) for p in general], DOMAIN_PRIOR)
-    hosts = counts.where(F.col("_host").isNotNull()).groupBy(F.col("_host").alias("host"), "_domain").agg(*sums).join(domains, "_domain", "left")
-    leaning = [F.coalesce(F.exp(F.get("_log_domain", F.lit(k))), F.lit(general[k])) for k in range(size)]
-    hosts = _shares(hosts, "host", langs, leaning, HOST_PRIOR)
-
-    out = fused(rows).join(hosts, "_host", "left")
+    domains = counts.where("domain <> ''").groupBy("domain").agg(*sums)
+    domains = domains.select("domain", _log_shares(size, [F.lit(p) for p in general], DOMAIN_PRIOR).alias("parent"))
+    hosts = counts.where("host IS NOT NULL").groupBy("host", "domain").agg(*sums).join(domains, "domain", "left")
+    leaning = [F.coalesce(F.exp(F.get("parent", F.lit(k))), F.lit(general[k])) for k in range(size)]
+    tables = {"host": hosts.select("host", _log_shares(size, leaning, HOST_PRIOR).alias("log"))}
     for kind in ("declared", "suffix"):
         # how likely a declaration or suffix is under each language, less its share overall
-        table = counts.where(F.col(f"_{kind}").isNotNull()).groupBy(F.col(f"_{kind}").alias(kind)).agg(*sums)
-        seen = sum((F.col(f"n{k}") for k in range(1, size)), F.col("n0"))
-        lift = F.array(*(F.log((F.col(f"n{k}") + EVIDENCE_PRIOR * general[k]) / (general[k] * (seen + EVIDENCE_PRIOR))) for k in range(size)))
-        out = out.join(table.select(F.col(kind).alias(f"_{kind}"), lift.alias(f"_log_{kind}")), f"_{kind}", "left")
-
-    flat = F.array(*(F.lit(float(np.log(p))) for p in general))
-    zero = F.array_repeat(F.lit(0.0), size)
-    score = F.coalesce("_log_host", flat)
-    for part in ("_likelihood", "_log_declared", "_log_suffix"):
-        score = F.zip_with(score, F.coalesce(F.col(part), zero), lambda a, b: a + b)
-    out = out.withColumn("_score", score)
-    best = F.array_max("_score")
-    weight = F.aggregate("_score", F.lit(0.0), lambda a, s: a + F.exp(s - best))
-    any_evidence = (F.col("_trigrams") > 0) | F.col("_log_declared").isNotNull()
-    known = (F.col("_trigrams") < 50) | (F.col("_fit") >= model.floor)
-    out = out.withColumns(
-        {
-            "lang_posterior": 1 / weight,
-            "lang_kept": any_evidence & known & (1 / weight >= least),
-            "_name": F.element_at(F.array(*map(F.lit, langs)), F.array_position("_score", best).cast("int")),
-        }
-    )
-    out = out.withColumn("lang_id", F.when(F.col("lang_kept"), F.col("_name")).otherwise("und"))
-    return out.select(*[n for n in names if n not in ("lang_id", "lang_posterior", "lang_kept")], "lang_id", "lang_posterior", "lang_kept")
+        table = counts.where(F.col(kind).isNotNull()).groupBy(kind).agg(*sums)
+        shares = _log_shares(size, [F.lit(p) for p in general], EVIDENCE_PRIOR)
+        tables[kind] = table.select(kind, F.zip_with(shares, F.array(*(F.lit(float(np.log(p))) for p in general)), lambda x, y: x - y).alias("log"))
+
+    out = seen
+    for kind, table in tables.items():
+        out = out.join(table.select(F.col(kind).alias(own + kind), F.col("log").alias(f"{own}log_{kind}")), own + kind, "left")
+    score = F.coalesce(F.col(f"{own}log_host"), F.array(*(F.lit(float(np.log(p))) for p in general)))
+    for part in ("likelihood", "log_declared", "log_suffix"):
+        score = F.zip_with(score, F.coalesce(F.col(own + part), F.array_repeat(F.lit(0.0), size)), lambda a, b: a + b)
+    out = out.withColumn(f"{own}score", score)
+    best = F.array_max(f"{own}score")
+    posterior = 1 / F.aggregate(f"{own}score", F.lit(0.0), lambda a, s: a + F.exp(s - best))
+    some = (c["trigrams"] > 0) | F.col(f"{own}log_declared").isNotNull()
+    known = (c["trigrams"] < 50) | (c["fit"] >= model.floor)
+    name = F.element_at(F.array(*map(F.lit, langs)), F.array_position(f"{own}score", best).cast("int"))
+    out = out.withColumns({"lang_posterior": posterior, "lang_kept": some & known & (posterior >= least)})
+    return out.withColumn("lang_id", F.when(F.col("lang_kept"), name).otherwise("und")).select(*names, *RESULTS)

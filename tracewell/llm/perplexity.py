@@ -8,13 +8,15 @@ the gram, so each is sharded by its key.
 
 To score, the distinct grams of every chunk of documents are looked up in those
 tables, again by joins, and come back to the chunk, whose documents are then
-scored with what they need and no more.  Nothing of the model is broadcast and
+scored with what they need and no more.  A document is kept up to its language's
+quantile over trusted texts that the model has not seen.  Nothing of the model is broadcast and
 no document's grams are shuffled one by one.
 
 Defined cases: null and empty text has no perplexity and is not kept; repeated
 rows are scored alike and count as often as they occur; without trusted text
-every byte has probability 1/256; a language without trusted text takes the
-quantile over all trusted texts.
+every byte has probability 1/256; a language with few
+held-out texts takes the quantile over all of them, and without any no text is
+rejected.
 """
 
 from __future__ import annotations
@@ -28,14 +30,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import column_bytes, cut, field, prepare
+from .common import column_bytes, cut, field, prepare, unused
 
-ORDER = 4
+ORDER = 5
 #: Rows of one chunk, at most; chunks are cut out of one file in row order.
 CHUNK_ROWS = 8192
-#: Trusted texts up to this perplexity, as a share, are kept; MARGIN goes on top.
-QUANTILE, MARGIN = 0.999, 1.1
-#: A text of this many bytes is allowed twice the limit, as a mean over few bytes varies more.
+#: Texts up to this quantile of held-out trusted texts are kept.
+QUANTILE = 0.99
+#: One of so many trusted texts is held out of the model for the quantiles.
+HOLD_OUT = 8
+#: Held-out texts from which on a language has a quantile of its own.
+LEAST_HELD = 50
+#: A text of this many bytes is allowed twice the limit, as a mean over few bytes varies more;
+#: quantiles are of perplexities without that allowance.
 SHORT_BYTES = 16
 #: Ids that are broadcast at most (8 bytes each).
 BROADCAST_IDS = 2_000_000
@@ -168,7 +175,7 @@ def _packed(docs: DataFrame, columns: list[str]) -> DataFrame:
     press = zstandard.ZstdCompressor
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer = press(level=1)
+        packer = press(level=5)
         for batch in batches:
             table = pa.Table.from_batches([batch])
             chunks, blobs = [], []
@@ -192,13 +199,13 @@ def perplexities(docs: DataFrame, model: KneserNey, keep: list[str]) -> DataFram
     order = model.order
     asked = cut(_chunk_grams(docs, order), "asked")
     known = model.look_up(asked.select("gram").distinct())
-    answers = asked.join(known, "gram").select("chunk", "gram", "logp")
+    answers = asked.join(known, "gram").select("chunk", "gram", F.col("logp").cast("float").alias("logp"))
     schema = T.StructType([*(docs.schema[c] for c in keep), field("n_bytes", T.LongType()), field("perplexity", T.DoubleType())])
 
     def score(rows: pa.Table, table: pa.Table) -> pa.Table:
         code = table.column("gram").to_numpy()
         ranked = np.argsort(code)
-        code, logp = code[ranked], table.column("logp").to_numpy()[ranked]
+        code, logp = code[ranked], table.column("logp").to_numpy()[ranked].astype(np.float64)
         opener = zstandard.ZstdDecompressor()
         parts = []
         for blob in rows.column("rows").to_pylist():
@@ -235,15 +242,22 @@ def chunk_of(path: Column, row: Column, rows: int = CHUNK_ROWS) -> Column:
     return F.xxhash64(path, F.floor(row / rows))
 
 
-def verdict(scored: DataFrame, trusted: Column, lang: Column, quantile: float = QUANTILE, margin: float = MARGIN) -> DataFrame:
-    """Append ``limit`` and ``kept``: the perplexity must not pass its language's quantile over trusted texts."""
+def held_out(id_col: str = "doc_id") -> Column:
+    """Trusted texts that give quantiles and not counts."""
+    return F.pmod(F.xxhash64(F.col(id_col), F.lit(31)), F.lit(HOLD_OUT)) == 0
+
+
+def verdict(scored: DataFrame, judged: Column, lang: Column, quantile: float = QUANTILE) -> DataFrame:
+    """Append ``limit`` and ``kept``: the perplexity must not pass its language's quantile over the rows ``judged``."""
+    own = unused(scored.columns, "_kn_")
     # written once: thresholds and verdicts both read it
-    rows = cut(scored.withColumns({"_trusted": F.coalesce(trusted, F.lit(False)), "_lang": lang}), "scored")
-    good = rows.where(F.col("_trusted") & F.col("perplexity").isNotNull())
-    every = F.percentile_approx("perplexity", quantile, 10_000)
-    limits = good.groupBy("_lang").agg(every.alias("_limit"))
+    rows = cut(scored.withColumns({f"{own}judged": F.coalesce(judged, F.lit(False)), f"{own}lang": lang}), "scored")
+    good = rows.where(F.col(f"{own}judged") & F.col("perplexity").isNotNull())
+    longer = 1 + SHORT_BYTES / F.greatest("n_bytes", F.lit(1))
+    every = F.percentile_approx(F.col("perplexity") / longer, quantile, 10_000)
+    limits = good.groupBy(F.col(f"{own}lang").alias(f"{own}l")).agg(every.alias(f"{own}limit"), F.count(F.lit(1)).alias(f"{own}n")).where(F.col(f"{own}n") >= LEAST_HELD)
     general = good.agg(every).first()[0]
-    rows = rows.join(limits, rows["_lang"].eqNullSafe(limits["_lang"]), "left").drop(limits["_lang"])
-    limit = F.coalesce(F.col("_limit"), F.lit(float("inf") if general is None else float(general))) * margin * (1 + SHORT_BYTES / F.greatest("n_bytes", F.lit(1)))
+    rows = rows.join(limits, F.col(f"{own}lang").eqNullSafe(F.col(f"{own}l")), "left")
+    limit = F.coalesce(F.col(f"{own}limit"), F.lit(float("inf") if general is None else float(general))) * longer
     out = rows.withColumn("limit", limit).withColumn("kept", F.coalesce(F.col("perplexity") <= F.col("limit"), F.lit(False)))
-    return out.drop("_trusted", "_lang", "_limit")
+    return out.drop(*(f"{own}{c}" for c in ("judged", "lang", "l", "limit", "n")))

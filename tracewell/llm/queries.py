@@ -77,12 +77,18 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def trusted_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of the documents that are labelled as good."""
+    return spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1 AND doc_id IS NOT NULL").select("doc_id").distinct()
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir, "doc_id", "text", "lang")
-    measured = rules.measure(docs, public_tokenizers.path("piece_bpe_32k.model"), drop=("text",))
-    return rules.verdict(measured).select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "chars_per_token", "byte_share", "token_entropy"
-    )
+    files = public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    measured = rules.measure(docs, *files, public_tokenizers.PATTERN, drop=("text",))
+    measured = measured.join(trusted_ids(spark, sf_dir).withColumn("trusted", F.lit(True)), "doc_id", "left")
+    counts = [f.name for f in rules.FIELDS]
+    return rules.verdict(measured, F.col("trusted"), F.col("lang")).select("doc_id", *counts, "base_failed", "kept")
 
 
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,18 +98,18 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
     place = perplexity.chunk_of(F.col("_metadata.file_path"), F.col("_metadata.row_index"))
     docs = documents(spark, sf_dir, "doc_id", "text", "lang", place.alias("chunk"))
-    good = spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1").select("doc_id").distinct()
-    model = perplexity.KneserNey(perplexity.trusted_texts(docs, good))
+    good = trusted_ids(spark, sf_dir)
+    model = perplexity.KneserNey(perplexity.trusted_texts(docs, good.where(~perplexity.held_out())))
     scored = perplexity.perplexities(docs, model, ["doc_id", "lang"])
-    scored = scored.join(good.withColumn("trusted", F.lit(True)), "doc_id", "left")
-    judged = perplexity.verdict(scored, F.col("trusted"), F.col("lang"))
+    scored = scored.join(good.where(perplexity.held_out()).withColumn("judged", F.lit(True)), "doc_id", "left")
+    judged = perplexity.verdict(scored, F.col("judged"), F.col("lang"))
     return judged.select("doc_id", "n_bytes", F.round("perplexity", 6).alias("perplexity"), F.round("limit", 6).alias("limit"), "kept")
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir, "doc_id", "text", "lang", "source")
-    model = language.train(docs, F.col("lang"))
-    found = language.identify(docs, model, declared=F.col("lang"), host=F.col("source"))
+    model = language.train_on_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    found = language.identify(docs, model, declared=F.col("lang"), host=F.col("source"), drop=("text",))
     return found.select("doc_id", "lang_id", F.round("lang_posterior", 6).alias("posterior"), F.col("lang_kept").alias("kept"))
 
 
