@@ -57,7 +57,7 @@ from .graph import components
 #: Nodes of a bucket up to which all pairs of different components are candidates.
 CROWD = 32
 #: Nodes of a larger bucket that one round holds against its others.
-HUBS = 16
+HUBS = 64
 #: Spare parts and parts of a range, for all sets and for those of crowded buckets.
 COARSE, FINE = (1, 3), (3, 6)
 
@@ -380,9 +380,10 @@ def _one_by_one(links: _Links, buckets: DataFrame, crowd: int, hubs: int) -> Non
     """Hold ``hubs`` nodes of each crowded bucket against its others and take them out, until no bucket has two components."""
     mixed = _mixed(buckets, links.parts).where(F.col("size") > crowd)
     while not mixed.isEmpty():
-        shares = cut(mixed.groupBy("sign", "part").agg(F.count(F.lit(1)).alias("share")), "shares")
+        # both windows are over buckets, so rows are dealt out once
+        share = F.count(F.lit(1)).over(Window.partitionBy("sign", "part"))
         order = Window.partitionBy("sign").orderBy("share", "part", "node")
-        ranked = cut(mixed.join(shares, ["sign", "part"]).withColumn("turn", F.row_number().over(order)), "ranked")
+        ranked = cut(mixed.repartition("sign").withColumn("share", share).withColumn("turn", F.row_number().over(order)), "ranked")
         links.verify(_pairs(mixed, links, ranked.where(F.col("turn") <= hubs)))
         rest = ranked.where(F.col("turn") > hubs).select("sign", "node")
         mixed = _of_several(cut(_with_part(rest, links.parts), "members"))
