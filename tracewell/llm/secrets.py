@@ -19,7 +19,6 @@ from __future__ import annotations
 import math
 import re
 import zlib
-from collections import Counter
 from collections.abc import Iterable
 from itertools import repeat
 
@@ -91,13 +90,20 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return [(a, b, KINDS[k]) for a, k, b in sorted(found)]
 
 
+_KINDS = bytes(b"9"[0] if chr(b).isdigit() else b"A"[0] if chr(b).isupper() else b"a"[0] if chr(b).islower() else b for b in range(128)) + bytes(range(128, 256))
+_AGAIN = re.compile(r"(.)\1+", re.S)
+
+
 def _shape(token: str) -> str:
-    out = []
-    for c in token[:24]:
-        k = "9" if c.isdigit() else "A" if c.isupper() else "a" if c.islower() else c
-        if not out or out[-1] != k:
-            out.append(k)
-    return "".join(out[:8])
+    """Kinds of the first characters, each run of one kind as one."""
+    head = token[:24]
+    if head.isascii():
+        if head.isalpha() and head.islower():
+            return "a"
+        kinds = head.encode().translate(_KINDS).decode()
+    else:
+        kinds = "".join("9" if c.isdigit() else "A" if c.isupper() else "a" if c.islower() else c for c in head)
+    return _AGAIN.sub(r"\1", kinds)[:8]
 
 
 def _bucket(n: int) -> int:
@@ -122,15 +128,15 @@ def _file_features(text: str) -> list[str]:
 
 
 def _run_features(run: str) -> list[str]:
-    counts = Counter(run)
-    entropy = -sum(v / len(run) * math.log2(v / len(run)) for v in counts.values())
-    digits = sum(map(str.isdigit, run)) / len(run)
+    size = len(run)
+    entropy = math.log2(size) - sum(n * math.log2(n) for n in map(run.count, set(run)) if n > 1) / size
+    digits = 0 if run.isalpha() else sum(map(run.count, "0123456789"))
     return [
-        f"run:len{_bucket(len(run))}",
-        f"run:entropy{int(entropy * 2)}",
-        f"run:digits{int(digits * 5)}",
-        f"run:hex{all(c in '0123456789abcdefABCDEF' for c in run)}",
-        f"run:mixed{any(c.isupper() for c in run) + 2 * any(c.islower() for c in run)}",
+        f"run:len{_bucket(size)}",
+        f"run:entropy{int(entropy * 2 + 1e-9)}",
+        f"run:digits{5 * digits // size}",
+        f"run:hex{not run.strip('0123456789abcdefABCDEF')}",
+        f"run:mixed{(run != run.lower()) + 2 * (run != run.upper())}",
     ]
 
 
@@ -138,13 +144,21 @@ def _token_features(token: str, first: bool) -> list[str]:
     return [f"tok:shape{_shape(token)}", f"tok:len{_bucket(len(token))}", f"tok:first{first}", f"tok:sign{token if not token.isalnum() else ''}"]
 
 
+def _alone_features(run: str) -> list[str]:
+    return [*_run_features(run), *_token_features(run, True)]
+
+
 def _key_features(key: bool, sign: bool) -> list[str]:
     return [f"left:key{key}", f"left:sign{sign}"]
 
 
+def _telling(word: str) -> bool:
+    """Whether a word before a run is a feature by itself, and not by its shape alone."""
+    return bool(len(word) < 16 and not word.isalpha() or _KEYWORD.search(word))
+
+
 def _left_features(k: int, word: str) -> list[str]:
-    known = len(word) < 16 and not word.isalpha() or _KEYWORD.search(word)
-    return [f"left:shape{k}:{_shape(word)}", *([f"left:word{k}:{word}"] if known else [])]
+    return [f"left:shape{k}:{_shape(word)}", *([f"left:word{k}:{word}"] if _telling(word) else [])]
 
 
 def _right_features(k: int, word: str) -> list[str]:
@@ -202,19 +216,31 @@ _KEYWORDS = _KEYWORD.pattern.removeprefix("(?i)").split("|")
 
 
 class Scorer:
-    """Best labels of runs from sums of weights that are remembered by part, so that words of prose cost little."""
+    """Best labels of runs from sums of weights that are remembered by part, so that words of prose cost little.
+
+    A sum is the weights of outside, begin and inside, and by how much begin is
+    above outside; a run of letters is one token, for which the last decides.
+    """
 
     def __init__(self, crf: Crf):
         self._weights = crf.weights.tolist()
         self._start, self._moves = crf.start.tolist(), crf.moves.T.tolist()
+        self._bar = self._start[0] - self._start[1]
         self._marks = {(k, s): self._sum(_key_features(k, s)) for k in (False, True) for s in (False, True)}
-        self._held: list[dict] = [{} for _ in range(6)]
+        self._runs: dict = {}
+        self._alone: dict = {}
+        self._tokens: dict = {}
+        self._words: dict = {}
+        self._shapes: dict = {}
 
     def _sum(self, names: list[str]) -> tuple[float, ...]:
-        return tuple(map(sum, zip(*(self._weights[f] for f in _ids(names)), strict=True)))
+        out = begin = inside = 0.0
+        for f in _ids(names):
+            x, y, z = self._weights[f]
+            out, begin, inside = out + x, begin + y, inside + z
+        return out, begin, inside, begin - out
 
-    def _part(self, k: int, word, make) -> tuple[float, ...]:
-        held = self._held[k]
+    def _part(self, held: dict, word, make) -> tuple[float, ...]:
         value = held.get(word)
         if value is None:
             if len(held) >= REMEMBERED:
@@ -222,9 +248,27 @@ class Scorer:
             value = held[word] = self._sum(make(word))
         return value
 
+    def _seen(self, word: str) -> tuple[tuple, tuple]:
+        """Sums of a word before a run, nearest and next, and of one behind it; most words share theirs by shape."""
+        found = self._words.get(word)
+        if found is None:
+            if len(self._words) >= REMEMBERED:
+                self._words.clear()
+            low = word.lower()
+            kind = low if _telling(low) else (_shape(low),)
+            found = self._shapes.get(kind)
+            if found is None:
+                if len(self._shapes) >= REMEMBERED:
+                    self._shapes.clear()
+                sides = (_left_features, _right_features)
+                found = self._shapes[kind] = tuple(tuple(self._sum(side(k, low)) for k in (0, 1)) for side in sides)
+            self._words[word] = found
+        return found
+
     def spans(self, text: str) -> list[tuple[int, int]]:
         found: list[tuple[int, int]] = []
         whole = None
+        alone, words, seen = self._alone, self._words, self._seen
         for m in _RUNS.finditer(text):
             run = m.group()
             letters = run.isalpha()
@@ -243,21 +287,21 @@ class Scorer:
                 left, right = before.split()[:-3:-1], text[b : b + _AROUND].split(None, 2)[:2]
                 key = some and bool(_KEYWORD.search(before[-24:]))
                 sign = before.rstrip(" \"'")[-1:] in ("=", ":")
-            parts = [whole, self._marks[key, sign], self._part(0, run, _run_features)]
-            for k, w in enumerate(left):
-                parts.append(self._part(1 + k, w, lambda w, k=k: _left_features(k, w.lower())))
-            for k, w in enumerate(right):
-                parts.append(self._part(3 + k, w, lambda w, k=k: _right_features(k, w.lower())))
             if letters:
-                parts.append(self._part(5, (run, True), lambda t: _token_features(*t)))
-                out, begin, _ = map(sum, zip(*parts, strict=True))
-                if begin + self._start[1] > out + self._start[0]:
+                ahead = whole[3] + self._marks[key, sign][3] + (alone.get(run) or self._part(alone, run, _alone_features))[3]
+                for k, w in enumerate(left):
+                    ahead += (words.get(w) or seen(w))[0][k][3]
+                for k, w in enumerate(right):
+                    ahead += (words.get(w) or seen(w))[1][k][3]
+                if ahead > self._bar:
                     found.append((a, b))
                 continue
+            parts = [whole, self._marks[key, sign], self._part(self._runs, run, _run_features)]
+            parts += [seen(w)[0][k] for k, w in enumerate(left)] + [seen(w)[1][k] for k, w in enumerate(right)]
             shared = tuple(map(sum, zip(*parts, strict=True)))
             tokens = list(_TOKEN.finditer(run))
-            own = (self._part(5, (t.group(), not t.start()), lambda t: _token_features(*t)) for t in tokens)
-            for t, label in zip(tokens, best_path(((x + p, y + q, z + r) for (x, y, z), (p, q, r) in zip(own, repeat(shared), strict=False)), self._start, self._moves), strict=True):
+            own = (self._part(self._tokens, (t.group(), not t.start()), lambda t: _token_features(*t)) for t in tokens)
+            for t, label in zip(tokens, best_path(((x + p, y + q, z + r) for (x, y, z, _), (p, q, r, _) in zip(own, repeat(shared), strict=False)), self._start, self._moves), strict=True):
                 if label == 1:
                     found.append((a + t.start(), a + t.end()))
                 elif label == 2 and found:
