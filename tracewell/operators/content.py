@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -88,6 +89,20 @@ def with_hashes(files: DataFrame, algorithms: list[str], chunk: int = CHUNK, fol
 _PROBED = schemas.schema("sig_mime:s sig_ext:s sig_desc:s sig_source:s sig_high_entropy:b hidden:b")
 
 
+def types_of_bytes(rows: DataFrame, data_col: str, keep: Sequence[str] = ()) -> DataFrame:
+    """``keep``, ``mime``, ``usual_ext`` and ``found_by`` of files that a binary column holds, by their first bytes."""
+    added = ("mime", "usual_ext", "found_by")
+    schema = T.StructType([*(rows.schema[c] for c in keep), *(T.StructField(c, T.StringType()) for c in added)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            heads = [formats.by_head(x) if x else (formats.EMPTY_TYPES[0], "", "", "empty") for x in batch.column("_head").to_pylist()]
+            columns = [pa.array([h[k] for h in heads], pa.string()) for k in (0, 1, 3)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *columns], names=schema.names)
+
+    return rows.select(*keep, F.substring(data_col, 1, formats.SAMPLE).alias("_head")).mapInArrow(run, schema)
+
+
 def with_signature(files: DataFrame, follow_symlinks: bool = False) -> DataFrame:
     """Append the columns of ``schemas.SIGNATURE``; the mismatch rule runs in the JVM."""
     kept = T.StructType([f for f in files.schema.fields if f.name not in {*schemas.SIGNATURE.names, "hidden"}])

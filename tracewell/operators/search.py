@@ -6,6 +6,7 @@ import re
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,7 +18,6 @@ from ..functions import encoding, values
 EXTENSIONS = ("txt", "log", "csv", "json", "xml", "md", "ini", "conf", "reg")
 MAX_BYTES = 10 * 1024 * 1024
 #: A line, for the JVM's matcher: its end stays with it, and form feeds and the like end none.
-LINE = r"([^\r\n]*(?:\r\n|\n|\r)|[^\r\n]+\z)"
 
 
 def compile_all(keywords: Sequence[str], regex: bool = False, case_sensitive: bool = False) -> list[re.Pattern]:
@@ -26,57 +26,38 @@ def compile_all(keywords: Sequence[str], regex: bool = False, case_sensitive: bo
     return [re.compile(k if regex else re.escape(k), flags) for k in keywords]
 
 
-# ---- over text columns, in the JVM --------------------------------------------------------------
+# ---- over bytes ----------------------------------------------------------------------------------
 
 
-def lines(texts: DataFrame, text_col: str = "text", keep: Sequence[str] = ()) -> DataFrame:
-    """One row per line: ``keep``, ``line_no`` from 1, ``line`` with its end."""
-    found = F.regexp_extract_all(F.col(text_col), F.lit(LINE), F.lit(1))
-    rows = texts.select(*keep, F.posexplode(found).alias("_at", "line"))
-    return rows.select(*keep, (F.col("_at") + 1).alias("line_no"), "line")
+def _hits(data: bytes, patterns: list[re.Pattern], encodings: Sequence[str]) -> Iterator[tuple]:
+    """The columns of a hit behind its path, and the number of its pattern, line by line."""
+    for number, (line, name) in enumerate(encoding.decode_lines(data, encodings), 1):
+        bare = line.rstrip("\r\n")
+        for k, p in enumerate(patterns):
+            for m in p.finditer(line):
+                a, b = m.span()
+                if a < b:
+                    yield number, a, b, m.group(), p.pattern, name, _preview(bare, a, b), k
 
 
-def literal_hits(rows: DataFrame, keyword: str, line_col: str = "line", keep: Sequence[str] = ()) -> DataFrame:
-    """Matches of a literal keyword with their spans, in order and without overlaps.
+def search_bytes(rows: DataFrame, data_col: str, patterns: list[re.Pattern], keep: Sequence[str] = (), encodings: Sequence[str] = encoding.ENCODINGS) -> DataFrame:
+    """``keep`` and the hits in files that a binary column holds; null has none."""
+    found = [*schemas.HITS.fields[1:], T.StructField("pattern_no", T.IntegerType())]
+    schema = T.StructType([*(rows.schema[c] for c in keep), *found])
+    kinds = [pa.int32() if isinstance(f.dataType, T.IntegerType) else pa.string() for f in found]
 
-    The line is split at the keyword; the summed lengths of the pieces before a
-    match are its place.  Lines without the keyword are dropped before that.
-    """
-    line, size = F.col(line_col), len(keyword)
-    pieces = F.split(line, re.sub(r"([^A-Za-z0-9 ])", r"\\\1", keyword))
-    ends = F.transform(F.sequence(F.lit(1), F.size(pieces) - 1), lambda k: F.aggregate(F.slice(pieces, F.lit(1), k), F.lit(0), lambda a, p: a + F.length(p)) + (k - 1) * size)
-    rows = rows.where(line.contains(keyword)).select(*keep, line.alias("_line"), F.explode(ends).alias("match_span_start"))
-    return _finished(rows, keep, F.lit(keyword), F.lit(size))
-
-
-def regex_hits(rows: DataFrame, pattern: str, line_col: str = "line", keep: Sequence[str] = ()) -> DataFrame:
-    """The same for a Java pattern without groups that never matches the empty string.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, hits = [], []
+            for k, data in enumerate(batch.column(data_col).to_pylist()):
+                for hit in _hits(data or b"", patterns, encodings):
+                    at.append(k)
+                    hits.append(hit)
+            columns = list(zip(*hits, strict=True)) or [()] * len(found)
+            own = [batch.column(c).take(pa.array(at, pa.int64())) for c in keep]
+            yield pa.RecordBatch.from_arrays([*own, *(pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True))], names=schema.names)
 
-    Case folding outside ASCII takes the flags ``(?iu)``.
-    """
-    line = F.col(line_col)
-    found = F.regexp_extract_all(line, F.lit(pattern), F.lit(0))
-    pieces = F.split(line, pattern)
-    spans = F.transform(
-        F.sequence(F.lit(1), F.size(found)),
-        lambda k: F.struct(
-            (
-                F.aggregate(F.slice(pieces, F.lit(1), k), F.lit(0), lambda a, p: a + F.length(p))
-                + F.aggregate(F.slice(found, F.lit(1), k - 1), F.lit(0), lambda a, p: a + F.length(p))
-            ).alias("match_span_start"),
-            F.element_at(found, k).alias("m"),
-        ),
-    )
-    rows = rows.where(line.rlike(pattern)).select(*keep, line.alias("_line"), F.explode(spans).alias("s"))
-    return _finished(rows.select(*keep, "_line", "s.match_span_start", "s.m"), keep, F.lit(pattern), F.length("m"))
-
-
-def _finished(rows: DataFrame, keep: Sequence[str], pattern: Column, size: Column) -> DataFrame:
-    start = F.col("match_span_start")
-    rows = rows.withColumn("match_span_end", start + size)
-    shown = values.preview(F.regexp_replace("_line", r"[\r\n]+\z", ""), start, F.col("match_span_end"))
-    matched = F.substring(F.col("_line"), start + 1, size)
-    return rows.select(*keep, start, "match_span_end", matched.alias("matched"), pattern.alias("pattern"), shown.alias("line_preview"))
+    return rows.select(*keep, data_col).mapInArrow(run, schema)
 
 
 # ---- over files ----------------------------------------------------------------------------------
@@ -106,13 +87,8 @@ def search_files(candidates: DataFrame, patterns: list[re.Pattern], encodings: S
         except OSError:
             yield (path, *[None] * 8, "read_error")
             return
-        for number, (line, name) in enumerate(encoding.decode_lines(data, encodings), 1):
-            bare = line.rstrip("\r\n")
-            for k, p in enumerate(patterns):
-                for m in p.finditer(line):
-                    a, b = m.span()
-                    if a < b:
-                        yield path, number, a, b, m.group(), p.pattern, name, _preview(bare, a, b), k, None
+        for hit in _hits(data, patterns, encodings):
+            yield path, *hit, None
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -153,6 +129,20 @@ def decoded_lines(files: DataFrame, encodings: Sequence[str] = encoding.ENCODING
     return files.select("path").mapInPandas(run, schema)
 
 
+def decoded_texts(rows: DataFrame, data_col: str, keep: Sequence[str] = (), encodings: Sequence[str] = encoding.ENCODINGS) -> DataFrame:
+    """``keep``, ``lines`` (with their ends) and ``encoding`` (of all lines, in one name) of files that a binary column holds; null has neither."""
+    schema = T.StructType([*(rows.schema[c] for c in keep), T.StructField("lines", T.ArrayType(T.StringType())), T.StructField("encoding", T.StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [None if data is None else encoding.decode_lines(data, encodings) for data in batch.column(data_col).to_pylist()]
+            lines = pa.array([None if x is None else [line for line, _ in x] for x in found], pa.list_(pa.string()))
+            names = pa.array([None if x is None else encoding.file_label([name for _, name in x]) for x in found], pa.string())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), lines, names], names=schema.names)
+
+    return rows.select(*keep, data_col).mapInArrow(run, schema)
+
+
 def _preview(line: str, a: int, b: int, width: int = values.PREVIEW_CHARS) -> str:
     if len(line) <= width:
         return line

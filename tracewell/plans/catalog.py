@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import formats, values
-from ..operators import search, snapshot, timeline, validate
+from ..operators import content, search, snapshot, timeline, validate
 from ..sources import artifacts
 
 #: Moments that stand for now; fixed, so that results are the same every day.
@@ -122,21 +122,29 @@ def order_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- search ---------------------------------------------------------------------------------------
 
 
+def _document_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.col("text").cast("binary").alias("data"))
+
+
 def search_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.lines(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    rows = search.decoded_texts(_document_bytes(spark, sf_dir), "data", ["doc_id"])
+    return rows.select("doc_id", F.posexplode("lines").alias("at", "line")).select("doc_id", (F.col("at") + 1).alias("line_no"), "line")
 
 
 def search_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.literal_hits(search_lines(spark, sf_dir), KEYWORD, keep=["doc_id", "line_no"]).drop("line_preview")
+    found = search.search_bytes(_document_bytes(spark, sf_dir), "data", search.compile_all([KEYWORD], case_sensitive=True), ["doc_id"])
+    return found.select("doc_id", "line_no", "match_span_start", "match_span_end", "matched", "pattern")
 
 
 def hit_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.literal_hits(search_lines(spark, sf_dir), TOKEN, keep=["doc_id", "line_no"]).select("doc_id", "line_no", "match_span_start", "line_preview")
+    found = search.search_bytes(_document_bytes(spark, sf_dir), "data", search.compile_all([TOKEN], case_sensitive=True), ["doc_id"])
+    return found.select("doc_id", "line_no", "match_span_start", "line_preview")
 
 
 def search_regex_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
-    return search.regex_hits(rows, f"(?iu){PATTERN}", "text", ["conv_id", "turn"]).select("conv_id", "turn", "match_span_start", "match_span_end", "matched")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("text").cast("binary").alias("data"))
+    found = search.search_bytes(rows, "data", search.compile_all([PATTERN], regex=True), ["conv_id", "turn"])
+    return found.select("conv_id", "turn", "line_no", "match_span_start", "match_span_end", "matched")
 
 
 def skip_split(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -157,6 +165,9 @@ HEADS += [((b"RIFF\1\2\3\4" + f).hex().upper(), t) for f, (t, _) in formats.RIFF
 HEADS += [((b"\0\0\0\x18ftyp" + b).hex().upper(), t) for b, (t, _) in formats.BRANDS.items()]
 HEADS += [((b"\0\0\0\x18ftypzzzz").hex().upper(), "video/mp4"), ((b"RIFF\1\2\3\4zzzz").hex().upper(), None), ("", None), ("00", None)]
 
+#: Marks of one type each, and none.
+HEAD_MARKS = [(h, t) for h, t in HEADS if h not in ("", "00") and t] + [("", "text/plain")]
+
 #: extension, type, usual extension, hidden data, and whether they contradict each other
 MISMATCH = [
     (".jpg", "image/png", ".png", False, True),
@@ -279,6 +290,25 @@ def formula_escape(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "cell", F.sha2(escaped, 256).alias("escaped"), F.sha2(values.unescape_formula(escaped), 256).alias("back"))
 
 
+def text_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files in four encodings, decoded by the engine: encoding, lines and the text again."""
+    form = F.pmod(F.col("doc_id"), F.lit(4))
+    data = F.when(form == 0, F.col("text").cast("binary"))
+    for number, mark, name in ((1, "EFBBBF", "UTF-8"), (2, "FFFE", "UTF-16LE"), (3, "FEFF", "UTF-16BE")):
+        data = F.when(form == number, F.concat(F.unhex(F.lit(mark)), F.encode("text", name))).otherwise(data)
+    rows = table(spark, sf_dir, "documents").select("doc_id", data.alias("data"))
+    got = search.decoded_texts(rows, "data", ["doc_id"])
+    return got.select("doc_id", "encoding", F.size("lines").cast("long").alias("n_lines"), F.sha2(F.array_join("lines", ""), 256).alias("text_sha256"))
+
+
+def signature_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Types of documents behind one of the known marks each, or behind none."""
+    marks = F.array(*(F.unhex(F.lit(h)) for h, _ in HEAD_MARKS))
+    data = F.concat(F.get(marks, F.pmod(F.col("doc_id"), F.lit(len(HEAD_MARKS))).cast("int")), F.col("text").cast("binary"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", data.alias("data"))
+    return content.types_of_bytes(rows, "data", ["doc_id"]).select("doc_id", "mime")
+
+
 def permissions_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").groupBy("user_id").agg(F.array_join(F.array_sort(F.collect_set("event_type")), ";").alias("permissions"))
 
@@ -318,6 +348,8 @@ QUERIES = {
         glob_exclude,
         signature_magic,
         signature_text_kind,
+        signature_bytes,
+        text_decode,
         ext_mismatch,
         row_diff,
         row_diff_capped,
@@ -363,7 +395,7 @@ UNION ALL SELECT 'WARN', 'DUP_PATH', path, '', '', 'recorded times: ' || count(*
 
 _LINES_SQL = """
 SELECT doc_id, CAST(i AS INTEGER) AS line_no, l[i] AS line FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i
-FROM (SELECT doc_id, regexp_extract_all(text, '[^\\r\\n]*(?:\\r\\n|\\n|\\r)|[^\\r\\n]+\\z') AS l FROM documents))"""
+FROM (SELECT doc_id, regexp_extract_all(text, '[^\\r\\n]*(?:\r\n|\n|\r)|[^\\r\\n]+\\z') AS l FROM documents))"""
 
 
 def _literal_sql(word: str) -> str:
@@ -436,11 +468,13 @@ c AS (SELECT *, length(line) AS n, greatest(0, (match_span_start * 2 + {len(TOKE
 d AS (SELECT *, least(n, l0 + 240) AS r FROM c), w AS (SELECT *, greatest(0, r - 240) AS l FROM d)
 SELECT doc_id, line_no, match_span_start, CASE WHEN n <= 240 THEN line ELSE
   (CASE WHEN l > 0 THEN '…' ELSE '' END) || substr(line, l + 1, 240) || (CASE WHEN r < n THEN '…' ELSE '' END) END AS line_preview FROM w""",
-    "search_regex_ci": f"""
-WITH p AS (SELECT conv_id, turn, regexp_extract_all(text, '(?i){PATTERN}') AS m, regexp_split_to_array(text, '(?i){PATTERN}') AS p FROM conversations WHERE regexp_matches(text, '(?i){PATTERN}')),
+    "search_regex_ci": rf"""
+WITH t AS (SELECT conv_id, turn, regexp_extract_all(text, '[^\r\n]*(?:\r\n|\n|\r)|[^\r\n]+') AS l FROM conversations),
+n AS (SELECT conv_id, turn, l[i] AS text, i AS line_no FROM (SELECT *, unnest(range(1, len(l) + 1)) AS i FROM t)),
+p AS (SELECT conv_id, turn, line_no, regexp_extract_all(text, '(?i){PATTERN}') AS m, regexp_split_to_array(text, '(?i){PATTERN}') AS p FROM n WHERE regexp_matches(text, '(?i){PATTERN}')),
 k AS (SELECT *, unnest(range(1, len(m) + 1)) AS k FROM p)
-SELECT conv_id, turn, CAST(s AS INTEGER) AS match_span_start, CAST(s + length(x) AS INTEGER) AS match_span_end, x AS matched FROM
-(SELECT conv_id, turn, m[k] AS x, list_sum(list_transform(p[1:k], lambda y: length(y))) + coalesce(list_sum(list_transform(m[1:k - 1], lambda y: length(y))), 0) AS s FROM k)""",
+SELECT conv_id, turn, CAST(line_no AS INTEGER) AS line_no, CAST(s AS INTEGER) AS match_span_start, CAST(s + length(x) AS INTEGER) AS match_span_end, x AS matched FROM
+(SELECT conv_id, turn, line_no, m[k] AS x, list_sum(list_transform(p[1:k], lambda y: length(y))) + coalesce(list_sum(list_transform(m[1:k - 1], lambda y: length(y))), 0) AS s FROM k)""",
     "skip_split": f"""
 SELECT doc_id, CASE WHEN source = 'src3' THEN 'symlink' WHEN strlen(text) > {MAX_FILE} THEN 'too_large' ELSE '' END AS skip_reason FROM documents WHERE lang <> 'de'""",
     "glob_exclude": "SELECT page_id, "
@@ -449,6 +483,10 @@ SELECT doc_id, CASE WHEN source = 'src3' THEN 'symlink' WHEN strlen(text) > {MAX
     "signature_magic": "WITH fixed AS (SELECT * FROM (VALUES "
     + ", ".join(f"({_text('head ' + h)}, {_text(t or '')})" for h, t in HEADS)
     + ") v(item, mime)) SELECT * FROM fixed UNION ALL SELECT 'pages ' || page_id, '' FROM pages UNION ALL SELECT 'documents ' || doc_id, '' FROM documents",
+    "signature_bytes": "SELECT doc_id, [" + ", ".join(_text(t) for _, t in HEAD_MARKS) + f"][CAST(doc_id % {len(HEAD_MARKS)} AS INTEGER) + 1] AS mime FROM documents",
+    "text_decode": r"""
+SELECT doc_id, CASE WHEN text = '' THEN 'empty' ELSE ['utf-8', 'utf-8-sig', 'utf-16', 'utf-16'][CAST(doc_id % 4 AS INTEGER) + 1] END AS encoding,
+       CAST(len(regexp_extract_all(text, '[^\r\n]*(?:\r\n|\n|\r)|[^\r\n]+')) AS BIGINT) AS n_lines, sha256(text) AS text_sha256 FROM documents""",
     "signature_text_kind": """
 WITH h AS (SELECT page_id, wrapped, substr(h || coalesce(html, ''), 1, 512) AS t FROM pages, (VALUES ('no', ''), ('xml', '<?xml version=''1.0''?>'), ('prefs', ' ' || chr(10) || '<map>'), ('plist', '<plist>')) v(wrapped, h)),
 s AS (SELECT *, ltrim(t, ' ' || chr(9) || chr(10) || chr(13)) AS s FROM h),
