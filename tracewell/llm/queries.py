@@ -133,6 +133,15 @@ _OP2_RECORD = """'WARC/1.0' || crlf || 'WARC-Type: response' || crlf || 'WARC-Re
 || crlf || crlf || coalesce(html, '') || crlf || crlf"""
 
 ORACLE_SQL: dict[str, str] = {
+    "op7_jaccard_join": f"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(regexp_extract_all(translate(text, '{_UPPER}', '{_LOWER}'), '[^\\x20\\x09-\\x0D]+'), []) AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + 2], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+met AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM s a JOIN s b USING (s) WHERE a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT x, y FROM met JOIN n a ON x = a.doc_id JOIN n b ON y = b.doc_id WHERE 100 * k >= 90 * (a.n + b.n - k)),
+e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+r AS (SELECT doc_id, doc_id AS z FROM d UNION SELECT r.doc_id, e.y FROM r JOIN e ON r.z = e.x)
+SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id FROM (SELECT doc_id, min(z) AS component_id FROM r GROUP BY doc_id) LEFT JOIN n USING (doc_id)""",
     "op2_warc_fixity": f"""
 WITH p AS (SELECT page_id, url, html, page_id // 4096 AS warc_file, (page_id * 40503 + 7) % 53 AS draw, chr(13) || chr(10) AS crlf FROM pages),
 r AS (SELECT page_id, warc_file, draw, html, {_OP2_RECORD} AS record FROM p)
@@ -141,6 +150,17 @@ SELECT page_id, CAST(warc_file AS BIGINT) AS warc_file,
        CAST(strlen(record) AS BIGINT) AS length, sha256(record) AS digest,
        CASE WHEN draw = 1 THEN 'missing' WHEN draw = 0 AND '~' || substr(html, 2) <> html THEN 'altered' ELSE 'ok' END AS status
 FROM r""",
+    "op3_suffix_dedup": """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+g AS (SELECT doc_id, i, md5(substr(h, 2 * i + 1, 400)) AS m FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 199)) AS i FROM d WHERE length(h) >= 400)),
+twice AS (SELECT m FROM g GROUP BY m HAVING count(*) > 1),
+hit AS (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS p FROM g SEMI JOIN twice USING (m)),
+numbered AS (SELECT doc_id, i, count(*) FILTER (p IS NULL OR i > p + 200) OVER (PARTITION BY doc_id ORDER BY i) AS r FROM hit),
+run AS (SELECT doc_id, min(i) AS lo, max(i) + 200 AS hi FROM numbered GROUP BY doc_id, r),
+piece AS (SELECT doc_id, lo, hi, coalesce(lag(hi) OVER (PARTITION BY doc_id ORDER BY lo), 0) AS z FROM run),
+cuts AS (SELECT doc_id, sum(hi - lo) AS removed, count(*) AS spans, max(hi) AS z, string_agg(substr(h, 2 * z + 1, 2 * (lo - z)), '' ORDER BY lo) AS kept FROM piece JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans,
+       sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(z, 0) + 1))) AS kept_sha256 FROM d LEFT JOIN cuts USING (doc_id)""",
     "op4_decontamination": f"""
 WITH d AS (SELECT doc_id, coalesce({_OP4_WORDS}, []) AS w FROM documents),
 b AS (SELECT CAST(item_id AS VARCHAR) AS item_id, {_OP4_WORDS} AS w FROM benchmark),
