@@ -655,3 +655,15 @@ def test_each_query_over_odd_documents(spark, tmp_path, name):
     spark.createDataFrame([(1, "http://a.b", "<p>"), (2, None, None), (None, "u", "")], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
     rows = queries.QUERIES[name](spark, str(tmp_path)).collect()
     assert len(rows) == (3 if name.startswith("op2") else len(ODD) + 2 + len(long))
+
+
+def test_each_query_over_empty_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    kinds = {"benchmark": "item_id long, text string", "labels": "doc_id long, quality int, toxic int", "pages": "page_id long, url string, html string"}
+    docs = docs_of(spark, [])
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    for table, kind in kinds.items():
+        spark.createDataFrame([], kind).write.parquet(f"{tmp_path}/{table}.parquet")
+    assert {name: q(spark, str(tmp_path)).count() for name, q in queries.QUERIES.items()} == dict.fromkeys(queries.QUERIES, 0)
+    assert {name: f(spark, docs, str(tmp_path)).count() for name, f in corpus_pipeline.STAGES} == dict.fromkeys(dict(corpus_pipeline.STAGES), 0)
