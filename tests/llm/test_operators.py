@@ -1,8 +1,10 @@
 """The text operators against brute force, exact round trips and held-out labels, on small tables."""
 
+import gc
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -53,6 +55,36 @@ def test_bpe_equals_the_library(library):
         assert own.decode(got) == lib.decode(want, skip_special_tokens=False)
 
 
+def test_bpe_with_full_memories_equals_the_library(library, monkeypatch):
+    path, lib, _ = library
+    monkeypatch.setattr(bpe, "CACHE_WORDS", 7)
+    monkeypatch.setattr(bpe, "CACHE_CHUNKS", 3)
+    own = bpe.WordBpe(path)
+    rng = random.Random(5)
+    # é and its symbols as text, words that are chunks in one place and parts of chunks in another
+    pieces = ["é", "Ã©", "ã©", "the", "The", "the,", "it's", "'s", "''s", "\x01", "a\x01", "--", "--'", "<|endoftext|>", "the<|endoftext|>", "<|the", "İ", "7", "77"]
+    for _ in range(500):
+        text = " ".join(rng.choice(pieces) for _ in range(rng.randint(1, 12)))
+        for _ in range(2):
+            got = np.frombuffer(own.encode(text), "<u4").tolist()
+            assert got == lib.encode(text, add_special_tokens=False).ids, text
+        assert len(own._words) + len(own._others) <= 7 and len(own._chunks) <= 3
+
+
+def test_bpe_holds_a_word_once(library):
+    own = bpe.WordBpe(library[0])
+    rng = random.Random(6)
+    words = list({"".join(rng.choice("abcdehilnorst") for _ in range(6)) for _ in range(20_000)})
+    own.encode(" ".join(w + "," for w in words))
+    own._chunks.clear()
+    gc.collect()
+    tracemalloc.start()
+    own.encode(" ".join(words))
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert held < 500_000
+
+
 def test_bpe_arcs_are_exactly_the_pairs_that_bpe_makes(library):
     _, lib, own = library
     a = own.automaton

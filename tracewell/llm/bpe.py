@@ -31,6 +31,9 @@ from .common import CACHE_WORDS, annotate, field
 
 END = "</w>"
 
+#: Runs without white space remembered by one task, beside the words that they are made of.
+CACHE_CHUNKS = CACHE_WORDS // 2
+
 #: The split pattern that the vocabulary file states, for ASCII text in lower case.
 ASCII_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^ \t\n\r\x0b\x0ca-z0-9]+")
 ASCII_SPACE = re.compile(r"[ \t\n\r\x0b\x0c]+")
@@ -98,7 +101,7 @@ class MergeAutomaton:
         key = state << 20 | arc
         known = self._rows.get(key)
         if known is None:
-            if len(self._rows) >= 2 * CACHE_WORDS:
+            if len(self._rows) >= CACHE_WORDS:
                 self._rows.clear()
             known = self._rows[key] = self._live(state, arc, 1 << 30)
         return known
@@ -150,7 +153,9 @@ class WordBpe:
         model = spec["model"]
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         self.automaton = MergeAutomaton(model["vocab"], merges)
-        tokenizer = Tokenizer.from_file(path)
+        # the library only normalizes and splits, so it gets no tokens to hold
+        model |= {"vocab": {}, "merges": []}
+        tokenizer = Tokenizer.from_str(json.dumps(spec | {"added_tokens": [], "post_processor": None}))
         self._normalize = tokenizer.normalizer.normalize_str
         self._split = tokenizer.pre_tokenizer.pre_tokenize_str
         self._special = {t["content"]: t["id"] for t in spec["added_tokens"]}
@@ -160,51 +165,58 @@ class WordBpe:
             self.labels += [""] * (label + 1 - len(self.labels))
             self.labels[label] = text
         self._symbols = byte_symbols()
-        self._words: dict[str, tuple[int, ...]] = {}
+        #: Ids of ASCII words, of other words by their symbols, and of chunks that are no ASCII word themselves.
+        self._words: dict[str, bytes] = {}
+        self._others: dict[str, bytes] = {}
         self._chunks: dict[str, bytes] = {}
 
-    def _word(self, word: str) -> tuple[int, ...]:
-        ids = self._words.get(word)
-        if ids is None:
-            if len(self._words) >= CACHE_WORDS:
-                self._words.clear()
-            ids = self._words[word] = tuple(self.automaton.encode_word(word))
+    def _word(self, held: dict[str, bytes], key: str, symbols: str) -> bytes:
+        if len(self._words) + len(self._others) >= CACHE_WORDS:
+            self._words.clear()
+            self._others.clear()
+        ids = held[key] = np.array(self.automaton.encode_word(symbols), "<u4").tobytes()
         return ids
 
-    def _plain(self, text: str) -> list[int]:
-        ids: list[int] = []
+    def _plain(self, text: str) -> bytes:
+        out = []
         if text.isascii():
             for word in ASCII_WORDS.findall(text.lower()):
-                if not word.isprintable():
-                    word = "".join(self._symbols[b] for b in word.encode())
-                ids += self._word(word)
+                ids = self._words.get(word)
+                if ids is None:
+                    symbols = word if word.isprintable() else "".join(self._symbols[b] for b in word.encode())
+                    ids = self._word(self._words, word, symbols)
+                out.append(ids)
         else:
             for word, _ in self._split(self._normalize(text)):
-                ids += self._word(word)
-        return ids
+                ids = self._others.get(word)
+                out.append(self._word(self._others, word, word) if ids is None else ids)
+        return b"".join(out)
 
     def _chunk(self, chunk: str) -> bytes:
         """Ids of a run without ASCII white space; no word and no special token crosses such space."""
-        ids: list[int] = []
+        out = []
         at = 0
         if "<|" in chunk:
             for m in self._special_re.finditer(chunk):
-                ids += self._plain(chunk[at : m.start()])
-                ids.append(self._special[m.group()])
+                out += [self._plain(chunk[at : m.start()]), self._special[m.group()].to_bytes(4, "little")]
                 at = m.end()
-        ids += self._plain(chunk[at:] if at else chunk)
-        if len(self._chunks) >= CACHE_WORDS:
-            self._chunks.clear()
-        out = self._chunks[chunk] = np.array(ids, "<u4").tobytes()
-        return out
+        out.append(self._plain(chunk[at:] if at else chunk))
+        ids = b"".join(out)
+        if chunk not in self._words:
+            if len(self._chunks) >= CACHE_CHUNKS:
+                self._chunks.clear()
+            self._chunks[chunk] = ids
+        return ids
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
-        known, chunk = self._chunks.get, self._chunk
+        word, known, chunk = self._words.get, self._chunks.get, self._chunk
         out = []
         for c in ASCII_SPACE.split(text):
             if c:
-                got = known(c)
+                got = word(c)
+                if got is None:
+                    got = known(c)
                 out.append(chunk(c) if got is None else got)
         return b"".join(out)
 
