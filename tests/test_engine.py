@@ -97,6 +97,30 @@ def test_search(spark, tmp_path, folder):
     assert [(h["matched"], h["match_span_start"], h["match_span_end"]) for h in hits] == [("password", "7", "15")]
 
 
+def test_byte_searches_hold_little(spark, monkeypatch):
+    import pyarrow as pa
+
+    from tracewell.operators import search
+
+    rows = spark.createDataFrame([], "id long, data binary")
+    runs = []
+    monkeypatch.setattr(type(rows), "mapInArrow", lambda self, run, schema: runs.append(run) or self, raising=False)
+    search.search_bytes(rows, "data", search.compile_all(["x"]), ["id"])
+    search.decoded_texts(rows, "data", ["id"])
+    texts = [b"x " * 20_000, None, b"", b"ax\n" * 5]
+    hits = list(runs[0](iter([pa.record_batch({"id": [7, 8, 9, 10], "data": pa.array(texts, pa.binary())})])))
+    assert max(b.num_rows for b in hits) <= 5000
+    got = pa.Table.from_batches(hits).to_pylist()
+    assert [r["match_span_start"] for r in got if r["id"] == 7] == list(range(0, 40_000, 2))
+    assert [(r["line_no"], r["match_span_start"]) for r in got if r["id"] == 10] == [(k, 1) for k in range(1, 6)] and len(got) == 20_005
+    # a text of any length, and nulls between them
+    texts = [None if k % 50 == 3 else b"%d\n" % k * 1000 if k != 1500 else b"y" * (9 << 20) for k in range(3000)]
+    parts = list(runs[1](iter([pa.record_batch({"id": range(3000), "data": pa.array(texts, pa.binary())}), pa.record_batch({"id": pa.array([], pa.int64()), "data": pa.array([], pa.binary())})])))
+    assert max(b.num_rows for b in parts) < 1500
+    got = pa.Table.from_batches(parts).to_pylist()
+    assert [r["id"] for r in got] == list(range(3000)) and all((r["lines"] and "".join(r["lines"]).encode()) == t for r, t in zip(got, texts, strict=True))
+
+
 def test_decoded_lines(spark, tmp_path):
     from tracewell.functions import encoding
     from tracewell.operators import search

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator, Sequence
+from itertools import islice
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,6 +20,8 @@ from ..functions import encoding, values
 #: Extensions that are searched, and the largest file.
 EXTENSIONS = ("txt", "log", "csv", "json", "xml", "md", "ini", "conf", "reg")
 MAX_BYTES = 10 * 1024 * 1024
+#: About the bytes of one Arrow batch into Python and of the texts decoded together, and the most hits of one batch back.
+BATCH_BYTES, BATCH_HITS = 4 << 20, 4096
 #: A line, for the JVM's matcher: its end stays with it, and form feeds and the like end none.
 
 
@@ -40,6 +45,20 @@ def _hits(data: bytes, patterns: list[re.Pattern], encodings: Sequence[str]) ->
                     yield number, a, b, m.group(), p.pattern, name, _preview(bare, a, b), k
 
 
+def _bounded(rows: DataFrame) -> DataFrame:
+    """Bound the bytes of Arrow batches in the session of ``rows``."""
+    rows.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return rows
+
+
+def _pieces(batch: pa.RecordBatch, data_col: str) -> Iterator[pa.RecordBatch]:
+    """Rows of a batch by about ``BATCH_BYTES`` of their data; a longer one begins a piece."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(data_col)), 0).to_numpy(zero_copy_only=False)
+    cuts = np.flatnonzero(np.diff(np.cumsum(sizes, dtype=np.int64) // BATCH_BYTES)) + 1
+    for a, b in zip([0, *cuts], [*cuts, len(sizes)], strict=True):
+        yield batch.slice(a, b - a)
+
+
 def search_bytes(rows: DataFrame, data_col: str, patterns: list[re.Pattern], keep: Sequence[str] = (), encodings: Sequence[str] = encoding.ENCODINGS) -> DataFrame:
     """``keep`` and the hits in files that a binary column holds; null has none."""
     found = [*schemas.HITS.fields[1:], T.StructField("pattern_no", T.IntegerType())]
@@ -48,16 +67,14 @@ def search_bytes(rows: DataFrame, data_col: str, patterns: list[re.Pattern], kee
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at, hits = [], []
-            for k, data in enumerate(batch.column(data_col).to_pylist()):
-                for hit in _hits(data or b"", patterns, encodings):
-                    at.append(k)
-                    hits.append(hit)
-            columns = list(zip(*hits, strict=True)) or [()] * len(found)
-            own = [batch.column(c).take(pa.array(at, pa.int64())) for c in keep]
-            yield pa.RecordBatch.from_arrays([*own, *(pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True))], names=schema.names)
+            data = batch.column(data_col)
+            hits = ((k, *hit) for k in range(len(data)) for hit in _hits(data[k].as_py() or b"", patterns, encodings))
+            while some := list(islice(hits, BATCH_HITS)):
+                at, *columns = zip(*some, strict=True)
+                own = [batch.column(c).take(pa.array(at, pa.int64())) for c in keep]
+                yield pa.RecordBatch.from_arrays([*own, *(pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True))], names=schema.names)
 
-    return rows.select(*keep, data_col).mapInArrow(run, schema)
+    return _bounded(rows).select(*keep, data_col).mapInArrow(run, schema)
 
 
 # ---- over files ----------------------------------------------------------------------------------
@@ -134,13 +151,13 @@ def decoded_texts(rows: DataFrame, data_col: str, keep: Sequence[str] = (), enco
     schema = T.StructType([*(rows.schema[c] for c in keep), T.StructField("lines", T.ArrayType(T.StringType())), T.StructField("encoding", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (piece for whole in batches for piece in _pieces(whole, data_col)):
             found = [None if data is None else encoding.decode_lines(data, encodings) for data in batch.column(data_col).to_pylist()]
             lines = pa.array([None if x is None else [line for line, _ in x] for x in found], pa.list_(pa.string()))
             names = pa.array([None if x is None else encoding.file_label([name for _, name in x]) for x in found], pa.string())
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), lines, names], names=schema.names)
 
-    return rows.select(*keep, data_col).mapInArrow(run, schema)
+    return _bounded(rows).select(*keep, data_col).mapInArrow(run, schema)
 
 
 def _preview(line: str, a: int, b: int, width: int = values.PREVIEW_CHARS) -> str:
